@@ -24,14 +24,16 @@ def _long_values(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     )
 
 
-def _locate(values: DataFrame, keys: list[str], targets: Column) -> DataFrame:
-    """Values holding the wanted ranks: keys, target struct (rank first), value.
+def _locate(values: DataFrame, keys: list[str], targets: Column, facts: DataFrame | None = None) -> DataFrame:
+    """Values holding the wanted ranks: keys, target struct (with ``rank``), value.
 
-    ``targets`` makes an array of structs from ``total``, the number of values per key;
-    the first field of each struct is a rank counted from zero.
+    ``targets`` makes an array of structs from ``total``, the number of values per key,
+    and from the columns of ``facts``, one row per key; ranks count from zero.
     """
     ranges = values.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
+    if facts is not None:
+        ranges = ranges.join(facts, keys)
     placed = values.join(ranges.select(*keys, "low", "high"), keys).withColumn(
         "spot", F.when(F.col("high") > F.col("low"),
                        (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * _BUCKETS).otherwise(F.lit(0.0)))
@@ -76,22 +78,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
 
 def kth_smallest(df: DataFrame, column: str, k: DataFrame, by: list[str]) -> DataFrame:
-    """Value at a per-group rank (from one): ``k`` has the group columns and ``k``."""
-    values = _long_values(df, [column], by)
+    """Value at a per-group rank counted from one: ``k`` has the group columns and ``k``."""
     keys = [*by, "column_name"]
-    named = k.withColumn("column_name", F.lit(column))
-    values = values.join(named.select(*keys), keys, "left_semi")
     wanted = F.array(F.struct((F.col("k") - 1).alias("rank")))
-    totals = values.join(named, keys)
-    return _locate_with_k(totals, keys, wanted).select(*by, F.col("value").alias(column))
-
-
-def _locate_with_k(values: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
-    ks = values.select(*keys, "k").distinct()
-    plain = values.drop("k")
-    # the rank travels as an extra key so that it is at hand next to the totals
-    keyed = plain.join(ks, keys)
-    return _locate(keyed, [*keys, "k"], wanted)
+    found = _locate(_long_values(df, [column], by), keys, wanted, k.withColumn("column_name", F.lit(column)))
+    return found.select(*by, F.col("value").alias(column))
 
 
 def quantile_value(df: DataFrame, column: str, p: float) -> Column:

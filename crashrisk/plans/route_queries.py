@@ -1 +1,109 @@
-"""Queries, to be filled."""
+"""WIN-3, WIN-4, AGG-18, AGG-21, FN-27..29 queries."""
+
+from pyspark.sql import functions as F
+
+from crashrisk.operators import routes as R
+from crashrisk.plans import views as V
+from crashrisk.plans.catalog import query
+
+
+def segments(spark, d):
+    """Sampled points of all routes with fixed class probabilities."""
+    routes = V.routes(spark, d)
+    return R.sample_points(V.route_points(spark, d), routes, 12).join(routes, R.ROUTE).selectExpr(
+        "*", "((trip_id * 37 + point_index * 11 + route_index) % 50) / 100.0D AS p_high",
+        "((trip_id * 53 + point_index * 7) % 50) / 100.0D AS p_low",
+        "CASE WHEN (trip_id + point_index * 3 + route_index * 5) % 17 = 0 THEN 'High'"
+        " WHEN (trip_id * 3 + point_index) % 7 < 2 THEN 'Medium' ELSE 'Low' END AS risk_class",
+    ).withColumn("p_medium", 1 - F.col("p_high") - F.col("p_low"))
+
+
+_SEG = """seg AS (SELECT *, ((trip_id * 37 + pi * 11 + route_index) % 50) / 100.0e0 AS p_high, ((trip_id * 53 + pi * 7) % 50) / 100.0e0 AS p_low,
+  CASE WHEN (trip_id + pi * 3 + route_index * 5) % 17 = 0 THEN 'High' WHEN (trip_id * 3 + pi) % 7 < 2 THEN 'Medium' ELSE 'Low' END AS risk_class
+ FROM (SELECT *, CASE WHEN k = n - 1 THEN num_points - 1 ELSE k * greatest(1, num_points // n) END AS pi
+  FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, least(12, num_points) AS n FROM routes))))"""
+_SUM = _SEG + """,
+s AS (SELECT trip_id, route_index, max(CASE risk_class WHEN 'High' THEN 2 WHEN 'Medium' THEN 1 ELSE 0 END) AS worst, avg(p_high) AS p_high, avg(p_low) AS p_low,
+  count(*) FILTER (WHERE risk_class <> 'Low') AS hot, count(*) FILTER (WHERE risk_class = 'High') AS high,
+  count(*) FILTER (WHERE risk_class = 'Medium') AS medium, max(duration_minutes) AS dur, max(distance_miles) AS dist FROM seg GROUP BY 1, 2),
+summary AS (SELECT *, high * 10 + medium * 3 + dur * 0.1e0 AS score FROM s)"""
+
+
+@query("win3_segment_placement", V.with_views("routes", more=_SEG, then="""
+SELECT trip_id, route_index, k AS segment, round(pi / greatest(num_points - 1, 1) * distance_miles, 6) AS distance_from_start_miles,
+  round(pi / greatest(num_points - 1, 1) * duration_minutes, 6) AS minutes_from_start FROM seg"""))
+def _(spark, d):
+    return R.place_segments(segments(spark, d)).select(
+        "trip_id", "route_index", F.col("segment").cast("bigint").alias("segment"),
+        F.round("distance_from_start_miles", 6).alias("distance_from_start_miles"), F.round("minutes_from_start", 6).alias("minutes_from_start"))
+
+
+@query("agg18_route_roll_up", V.with_views("routes", more=_SUM, then="""
+SELECT trip_id, route_index, CASE worst WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS overall_risk_class,
+  round(p_high, 6) AS p_high, round(p_low, 6) AS p_low, hot AS num_hotspots, high AS num_high_hotspots, medium AS num_medium_hotspots,
+  round(CASE worst WHEN 2 THEN p_high WHEN 1 THEN 1 - p_high - p_low ELSE p_low END, 6) AS overall_confidence FROM summary"""))
+def _(spark, d):
+    return R.roll_up_routes(segments(spark, d)).select(
+        "trip_id", "route_index", "overall_risk_class", F.round("p_high", 6).alias("p_high"), F.round("p_low", 6).alias("p_low"),
+        "num_hotspots", "num_high_hotspots", "num_medium_hotspots", F.round("overall_confidence", 6).alias("overall_confidence"))
+
+
+@query("fn27_safety_score", V.with_views("routes", more=_SUM, then="""
+SELECT trip_id, route_index, round(score, 6) AS safety_score FROM summary"""))
+def _(spark, d):
+    return R.roll_up_routes(segments(spark, d)).select("trip_id", "route_index", F.round("safety_score", 6).alias("safety_score"))
+
+
+@query("win4_safest_route", V.with_views("routes", more=_SUM, then="""
+SELECT trip_id, num_routes, route_index, round(score, 6) AS safety_score FROM (SELECT *, count(*) OVER (PARTITION BY trip_id) AS num_routes,
+  row_number() OVER (PARTITION BY trip_id ORDER BY score, route_index) AS r FROM summary) WHERE r = 1"""))
+def _(spark, d):
+    return R.safest_routes(R.roll_up_routes(segments(spark, d))).select(
+        "trip_id", "num_routes", "route_index", F.round("safety_score", 6).alias("safety_score"))
+
+
+@query("agg21_best_saving", V.with_views("routes", then="""
+SELECT trip_id, round(coalesce(greatest(max(duration_minutes) FILTER (WHERE route_index = 0) - min(duration_minutes) FILTER (WHERE route_index > 0), 0), 0), 6) AS saving_minutes,
+  count(*) FILTER (WHERE route_index > 0) AS num_alternatives FROM routes GROUP BY trip_id"""))
+def _(spark, d):
+    routes = V.routes(spark, d).withColumn("duration_seconds", F.col("duration_minutes") * 60)
+    return R.best_saving_minutes(routes).withColumn("saving_minutes", F.round("saving_minutes", 6))
+
+
+@query("fn28_recommendation", V.with_views("routes", more=_SUM + """,
+r AS (SELECT trip_id, count(*) AS n, arg_min(route_index, score * 1000 + route_index) AS x, count(*) FILTER (WHERE route_index = 0) AS z FROM summary GROUP BY trip_id),
+p AS (SELECT r.trip_id, n, x, b.hot AS bh, b.high AS bx, b.dur AS bd, b.score AS bs, f.hot AS fh, f.high AS fx, f.dur AS fd, f.score AS fs,
+  round(b.dur - f.dur, 1) AS gap FROM r JOIN summary b ON b.trip_id = r.trip_id AND b.route_index = x JOIN summary f ON f.trip_id = r.trip_id AND f.route_index = 0)""",
+    then="""SELECT trip_id, x AS recommended_route_index, CASE WHEN n = 1 THEN 'one' WHEN x = 0 AND bh = 0 THEN 'default clean'
+  WHEN x = 0 THEN 'default ' || bh || ' ' || bx ELSE 'alternative ' || x || CASE WHEN bx < fx THEN ' high ' || (fx - bx)
+  WHEN bh < fh THEN ' total ' || (fh - bh) ELSE ' score' END || CASE WHEN abs(gap) < 0.5 THEN ' same' WHEN gap > 0 THEN ' extra' ELSE ' saving' END END AS reason_kind FROM p"""))
+def _(spark, d):
+    out = R.recommendations(R.roll_up_routes(segments(spark, d)))
+    text = F.col("reason")
+
+    def part(pattern, group=1):
+        return F.regexp_extract(text, pattern, group)
+
+    kind = (
+        F.when(text.startswith("Only one"), "one").when(text.startswith("Default route is already"), "default clean")
+        .when(text.startswith("Default"), F.concat(F.lit("default "), part(r"with (\d+) hot"), F.lit(" "), part(r"\((\d+) high")))
+        .otherwise(F.concat(
+            F.lit("alternative "), part(r"Alternative (\d+)"),
+            F.when(text.contains("fewer high-risk"), F.concat(F.lit(" high "), part(r": (\d+) fewer")))
+            .when(text.contains("fewer total"), F.concat(F.lit(" total "), part(r": (\d+) fewer"))).otherwise(" score"),
+            F.when(text.contains("at the same"), " same").when(text.contains("extra min"), " extra").otherwise(" saving"))))
+    return out.select("trip_id", "recommended_route_index", kind.alias("reason_kind"))
+
+
+@query("fn29_explanation_context")
+def _(spark, d):
+    spots = R.hotspots(segments(spark, d)).groupBy("trip_id", "route_index").agg(F.sort_array(F.collect_list(
+        F.struct("segment", "risk_class", F.concat(F.lit("Point "), F.col("point_index")).alias("label")))).alias("hotspots"))
+    best = R.safest_routes(R.roll_up_routes(segments(spark, d)))
+    trips = best.join(spots, ["trip_id", "route_index"], "left").select(
+        "trip_id", F.col("overall_risk_class").alias("risk_class"), F.col("overall_confidence").alias("confidence"), "p_low", "p_medium", "p_high",
+        "duration_minutes", "distance_miles", F.lit(8).alias("hour_of_day"), F.lit("Rain").alias("condition"), F.lit(51.2).alias("temperature_f"),
+        F.lit(True).alias("is_precipitation"), F.lit(False).alias("is_low_visibility"), F.lit(None).cast("double").alias("nearby_crash_count_1km"),
+        F.lit(None).cast("double").alias("nearby_fatal_count_1km"), F.lit(None).cast("double").alias("nearby_crash_count_500m"),
+        F.coalesce("hotspots", F.array().cast("array<struct<segment:int,risk_class:string,label:string>>")).alias("hotspots"))
+    return R.explanation_context(trips).select("trip_id", "explanation_context")

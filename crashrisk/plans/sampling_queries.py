@@ -1 +1,45 @@
-"""Queries, to be filled."""
+"""SMP queries."""
+
+from pyspark.sql import functions as F
+
+from crashrisk.operators import sampling as S
+from crashrisk.plans import views as V
+from crashrisk.plans.catalog import query
+from crashrisk.plans.spatial_queries import CLASSIFIED, classified
+
+_BUCKET = "CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100"
+
+
+@query("smp1_stratified_split", V.with_views("crashes", more=CLASSIFIED + """,
+h AS (SELECT id, severity_class, row_number() OVER (PARTITION BY severity_class
+    ORDER BY CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 13) AS BIGINT)) AS r, count(*) OVER (PARTITION BY severity_class) AS n FROM classified)""",
+    then="SELECT id, severity_class, CASE WHEN r <= round(n * 0.2e0) THEN 'test' ELSE 'train' END AS split FROM h"))
+def _(spark, d):
+    return S.exact_stratified_split(classified(spark, d), "id", "severity_class").select("id", "severity_class", "split")
+
+
+@query("smp2_three_way_split", f"""
+SELECT o_orderkey, CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'validation' ELSE 'test' END AS split FROM orders""")
+def _(spark, d):
+    return S.three_way_split(V.table(spark, d, "orders"), "o_orderkey").select("o_orderkey", "split")
+
+
+@query("smp3_hash_split", f"""
+SELECT o_orderkey, CASE WHEN {_BUCKET} < 20 THEN 'test' ELSE 'train' END AS split FROM orders""")
+def _(spark, d):
+    return S.hash_split(V.table(spark, d, "orders"), "o_orderkey").select("o_orderkey", "split")
+
+
+@query("smp4_downsample_majority", V.with_views("accidents", more="""
+h AS (SELECT ID, Severity, row_number() OVER (PARTITION BY Severity ORDER BY CAST('0x' || substr(md5(CAST(ID AS VARCHAR)), 1, 13) AS BIGINT)) AS r,
+    count(*) FILTER (WHERE Severity <> 2) OVER () AS others FROM accidents)""",
+    then="SELECT ID AS id, Severity AS severity FROM h WHERE Severity <> 2 OR r <= others"))
+def _(spark, d):
+    return S.downsample_majority(V.accidents(spark, d), "ID", "Severity", 2).select(
+        F.col("ID").alias("id"), F.col("Severity").alias("severity"))
+
+
+@query("smp5_smote")
+def _(spark, d):
+    df = classified(spark, d).withColumn("hour", F.hour("crash_datetime_clean").cast("double"))
+    return S.smote(df, "id", "severity_class", ["lat", "lon", "hour"])
