@@ -67,5 +67,8 @@ RUN_LOG = layout("run_timestamp STRING, outcome STRING, dry_run BOOLEAN, merged_
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """JSON run logs of a folder; unreadable ones and those without stamp or outcome are skipped."""
-    logs = spark.read.schema(RUN_LOG).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return logs.where("run_timestamp IS NOT NULL AND run_timestamp <> '' AND outcome IS NOT NULL AND outcome <> ''")
+    return keep_complete_logs(spark.read.schema(RUN_LOG).option("multiLine", True).json(path))
+
+
+def keep_complete_logs(logs: DataFrame) -> DataFrame:
+    return logs.where("run_timestamp <> '' AND outcome <> ''")
