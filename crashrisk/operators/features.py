@@ -25,8 +25,8 @@ def medians(df: DataFrame, columns: list[str]) -> Column:
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing numbers become the column's exact median."""
-    fills = medians(df, columns)
-    return df.withColumns({c: F.coalesce(without_nan(F.col(c).cast("double")), fills[c]) for c in columns})
+    return df.withColumn("_fills", medians(df, columns)).withColumns(
+        {c: F.coalesce(without_nan(F.col(c).cast("double")), F.col("_fills")[c]) for c in columns}).drop("_fills")
 
 
 def name_columns(values: DataFrame, column: str, prefix: str = "") -> DataFrame:

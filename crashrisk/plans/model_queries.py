@@ -154,7 +154,7 @@ def accident_study(spark, d):
 def _(spark, d):
     df = accident_study(spark, d)
     names = [c for c in df.columns if c not in ("ID", "severity_class", "weather", "wind", "duration_min", "split")]
-    train = S.downsample_majority(df.where("split = 'train'"), "ID", "severity_class", "2")
+    train = materialise(S.downsample_majority(df.where("split = 'train'"), "ID", "severity_class", "2"))
     rows = []
     for kind, settings in {"logistic": {"iterations": 20}, "forest": {"trees": 10, "depth": 8}}.items():
         model = M.fit_classifier(train, names, "severity_class", kind, **settings)

@@ -55,7 +55,8 @@ def retrain(crashes: DataFrame, champion: dict[str, float], limits: dict[str, fl
     cuts = {r["class"]: r["threshold"] for r in thresholds.collect()}  # three rows
     final = materialise(M.score(fitted[best], test).withColumn("tuned", E.classify(thresholds=cuts)))
     both = final.select("severity_class", F.inline(F.array(
-        F.struct(F.lit("default").alias("rule"), F.col("prediction")), F.struct(F.lit("tuned"), F.col("tuned")))))
+        F.struct(F.lit("default").alias("rule"), F.col("prediction")),
+        F.struct(F.lit("tuned").alias("rule"), F.col("tuned").alias("prediction")))))
     report = E.class_report(both, "severity_class", "prediction", ["rule"])
     summary = E.summary_report(report, ["rule"])
     chosen = summary.orderBy(F.desc("macro_f1"), "rule").limit(1)
