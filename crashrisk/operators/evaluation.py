@@ -61,20 +61,29 @@ def binary_roc_auc(df: DataFrame, score: Column, positive: Column, by: list[str]
     """Area under the ROC curve with ties counted half; null when one class is absent.
 
     Rows are summed per distinct score first. Running counts are taken over score
-    buckets and inside each bucket, never over all scores in one window.
+    buckets, then over finer buckets inside each, then over the scores inside those:
+    no window ever holds all scores, also when they crowd in a narrow range.
     """
     by = by or []
     per_score = df.select(*by, score.alias("score"), positive.alias("positive")).groupBy(*by, "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    per_score = per_score.withColumn(
-        "bucket", F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("score") * buckets))).cast("int"))
-    totals = per_score.groupBy(*by, "bucket").agg(F.sum("neg").alias("neg"))
-    below = totals.select(*by, "bucket", F.coalesce(F.sum("neg").over(
-        Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("neg_before"))
-    inside = F.coalesce(F.sum("neg").over(
-        Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per_score.withColumn("neg_inside", inside).join(below, [*by, "bucket"])
-    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg_inside") + F.col("neg") / 2))
+    coarse = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("score") * buckets)))
+    fine = F.floor((F.col("score") * buckets - F.col("coarse")) * buckets)
+    per_score = per_score.withColumn("coarse", coarse).withColumn(
+        "fine", F.greatest(F.lit(0), F.least(F.lit(buckets - 1), fine)))
+
+    def before(part: list[str], order: str) -> Column:
+        window = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("neg").over(window), F.lit(0))
+
+    fine_sums = per_score.groupBy(*by, "coarse", "fine").agg(F.sum("neg").alias("neg"))
+    coarse_sums = fine_sums.groupBy(*by, "coarse").agg(F.sum("neg").alias("neg"))
+    ranked = (
+        per_score.withColumn("below_3", before([*by, "coarse", "fine"], "score"))
+        .join(fine_sums.select(*by, "coarse", "fine", before([*by, "coarse"], "fine").alias("below_2")), [*by, "coarse", "fine"])
+        .join(coarse_sums.select(*by, "coarse", before(by, "coarse").alias("below_1")), [*by, "coarse"])
+    )
+    wins = F.sum(F.col("pos") * (F.col("below_1") + F.col("below_2") + F.col("below_3") + F.col("neg") / 2))
     return ranked.groupBy(*by).agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crashrisk.functions import calendar as C
 from crashrisk.functions.cleaning import safe_name, without_nan
-from crashrisk.operators.joins import risk_class
+from crashrisk.operators.joins import lookup, risk_class
 from crashrisk.operators.lookups import drop_missing
 from crashrisk.operators.quantiles import exact_quantiles
 from crashrisk.operators.spatial import SPATIAL_COLUMNS
@@ -132,8 +132,6 @@ def feature_names(matrix: DataFrame, key: str = "id", label: str = "severity_cla
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Class -> 0..k-1 in sorted order."""
-    classes = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ordered = classes.agg(F.sort_array(F.collect_list(column)).alias("all")).select(
-        F.posexplode("all").alias("code", column))
-    return df.join(ordered, column, "left")
+    """Class -> 0..k-1 in sorted order; refuses columns with too many classes."""
+    codes = {name: i for i, name in enumerate(fit_vocabulary(df, column, missing_as=None))}
+    return df.withColumn("code", lookup(F.col(column), codes))

@@ -71,11 +71,23 @@ def best_variant(df: DataFrame, metric: str = "macro_f1", by: list[str] | None =
 
 
 def rows_since_retrain(runs: DataFrame, stream: str = "job", run_ts: str = "run_ts", phase: str = "phase",
-                       rows: str = "merged_rows", retrain: str = "retrain") -> DataFrame:
-    """Merged rows of every run minus those at the retrain before it (null before the first)."""
-    earlier = Window.partitionBy(stream).orderBy(run_ts).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col(phase) == retrain, F.col(rows)), ignorenulls=True).over(earlier)
-    return runs.withColumn("rows_since_retrain", F.col(rows) - last)
+                       rows: str = "merged_rows", retrain: str = "retrain", period: Column | None = None) -> DataFrame:
+    """Merged rows of every run minus those at the retrain before it (null before the first).
+
+    ``period`` is any value that grows with ``run_ts`` (default: the month of a run
+    stamp). The last retrain of earlier periods is carried over a table with one row per
+    period, so that even a job with very many runs is never ordered in one task.
+    """
+    period = F.substring(run_ts, 1, 7) if period is None else period
+    marked = runs.withColumns({"_period": period, "_kept": F.when(F.col(phase) == retrain, F.col(rows))})
+    per_period = marked.groupBy(stream, "_period").agg(
+        F.max_by("_kept", F.when(F.col("_kept").isNotNull(), F.col(run_ts))).alias("_kept"))
+    before = [Window.unboundedPreceding, -1]
+    carried = per_period.select(stream, "_period", F.last("_kept", ignorenulls=True).over(
+        Window.partitionBy(stream).orderBy("_period").rowsBetween(*before)).alias("_carried"))
+    inside = F.last("_kept", ignorenulls=True).over(Window.partitionBy(stream, "_period").orderBy(run_ts).rowsBetween(*before))
+    return marked.withColumn("_last", inside).join(carried, [stream, "_period"]).select(
+        *runs.columns, (F.col(rows) - F.coalesce("_last", "_carried")).alias("rows_since_retrain"))
 
 
 def alert_key(kind: Column, ts: Column, merged_path: Column, run_ts: Column) -> Column:

@@ -143,7 +143,7 @@ SELECT event_id, merged_rows, merged_rows - (last_value(CASE WHEN event_type = '
 def _(spark, d):
     runs = V.table(spark, d, "events").selectExpr("user_id AS job", "event_id AS run_ts", "event_type AS phase",
                                                   "cast(round(value * 100) AS bigint) AS merged_rows")
-    out = O.rows_since_retrain(runs, retrain="purchase")
+    out = O.rows_since_retrain(runs, retrain="purchase", period=F.expr("run_ts div 1000"))
     return out.select(F.col("run_ts").alias("event_id"), "merged_rows", "rows_since_retrain")
 
 

@@ -80,7 +80,7 @@ def _(spark, d):
 SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS risk_class, count(*) AS n FROM events GROUP BY 1, 2""")
 def _(spark, d):
     root = scratch_path(spark, "analytics")
-    W.append_analytics(predictions(spark, d), root, "route_predictions", files_per_day=4)
+    W.append_analytics(predictions(spark, d), root, "route_predictions")
     back = spark.read.parquet(f"{root}/route_predictions")
     return back.groupBy(F.col("day").cast("string").alias("day"), "risk_class").agg(F.count(F.lit(1)).alias("n"))
 

@@ -32,27 +32,26 @@ def reload_table(df: DataFrame, path: str) -> DataFrame:
         F.coalesce(F.col("expected") == F.col("rows"), F.lit(False)).alias("matches"), "min_year", "max_year")
 
 
-def append_analytics(df: DataFrame, root: str, name: str, files_per_day: int = 1) -> None:
+def append_analytics(df: DataFrame, root: str, name: str) -> None:
     """Append to an analytics table: one folder per day, rows in cluster order inside files.
 
-    Rows of a day are spread over ``files_per_day`` files by a salt, so a heavy day is
-    not written by one task.
+    The rebalance hint gathers the rows of a day, merges small days into one task and
+    splits a heavy day over several, from measured sizes.
     """
     schema, time_column, clusters = ANALYTICS_TABLES[name]
     rows = conform(df, schema)
     if time_column is None:
         rows.write.mode("append").parquet(f"{root}/{name}")
         return
-    salt = F.pmod(F.xxhash64(rows.columns[0]), F.lit(files_per_day))
-    rows = (rows.withColumn("day", F.to_date(time_column)).repartition(F.col("day"), salt)
-            .sortWithinPartitions("day", *clusters))
+    rows = rows.withColumn("day", F.to_date(time_column)).hint("rebalance", "day").sortWithinPartitions("day", *clusters)
     rows.write.mode("append").partitionBy("day").parquet(f"{root}/{name}")
 
 
 def write_stage(df: DataFrame, root: str, stage: str, run_ts: str) -> str:
     """Candidate rows of a stage, one folder per run and year."""
     path = f"{root}/{stage}"
-    df.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts", "year").parquet(path)
+    (df.withColumn("run_ts", F.lit(run_ts)).hint("rebalance", "year")
+     .write.mode("append").partitionBy("run_ts", "year").parquet(path))
     return path
 
 
