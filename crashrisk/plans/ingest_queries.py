@@ -253,7 +253,7 @@ def _(spark, d):
         "concat('m', c_custkey) AS model_id", "cast(date_add(date'2020-01-01', cast(c_custkey % 2000 AS int)) AS string) AS training_date",
         "IF(c_custkey % 50 = 0, true, NULL) AS is_champion")
     return I.model_version_rows(models).select(
-        "model_id", F.date_format("training_date", "yyyy-MM-dd").alias("trained_on"), "is_champion", "traffic_pct",
+        "model_id", F.date_format(F.to_utc_timestamp("training_date", F.current_timezone()), "yyyy-MM-dd").alias("trained_on"), "is_champion", "traffic_pct",
         F.col("promoted_at").isNotNull().alias("is_promoted"))
 
 
