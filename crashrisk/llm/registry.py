@@ -11,7 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ["jaccard_join", "token_files", "toxicity", "suffix_dedup", "quality_rules", "html_paths"]
+_MODULES = ["decontamination", "jaccard_join", "token_files", "toxicity", "suffix_dedup", "quality_rules",
+            "html_paths"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
