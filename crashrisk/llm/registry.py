@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ["decontamination", "jaccard_join", "token_files", "toxicity", "suffix_dedup", "quality_rules",
+_MODULES = ["decontamination", "jaccard_join", "sentencepiece_scan", "token_files", "toxicity", "suffix_dedup", "quality_rules",
             "html_paths"]
 
 
