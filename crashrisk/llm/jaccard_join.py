@@ -19,6 +19,8 @@ What keeps this whole and bounded under skew:
 * Equal sets are one class. Members of a bucket are compared with a pivot first, and
   linked classes get one label; only pairs whose labels still differ are then compared
   with each other. Comparisons left out join nothing new: both ends are in one component.
+* Pairs are held against their sizes and parity sketches before a set is fetched; the bits in
+  which two sketches differ are a lower bound of the elements in which the sets do.
 * Shown values travel packed by bucket; values that many classes of one task share skip
   the bucket and go out as rows.
 
@@ -49,6 +51,8 @@ DELETION_SEGMENTS = 8
 BUCKET_VALUES, DIRECT_CLASSES = 1_000_000, 64
 #: Rounds of comparison with pivots before the remaining pairs of different labels are compared.
 PIVOT_ROUNDS = 2
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
 
 
 class Scheme:
@@ -286,13 +290,27 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(value[keep], cid[keep])
 
 
+def _parities(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per set SKETCH 64-bit words: is the number of its elements that fall on each bit odd?
+
+    Two sketches differ in no more bits than their sets in elements, whatever falls together.
+    """
+    n, width = len(bounds) - 1, 64 * SKETCH
+    bit = np.repeat(np.arange(n), np.diff(bounds)) * width + (ta.mix(tokens ^ np.uint64(0x7F4A7C15)) % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(bit, minlength=n * width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(n, SKETCH)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, texts in ta.slices(batch.column(1)):
             tokens, bounds = shingle_sets(texts, words)
+            sketches = _parities(tokens, bounds)
             yield pa.record_batch(
-                [batch.column(0).slice(first, last - first), pa.array(np.diff(bounds)),
-                 pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["cid", "n", "grams"])
+                [batch.column(0).slice(first, last - first), pa.array(np.diff(bounds))]
+                + [pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH)]
+                + [pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
+                names=["cid", "n", *(f"s{i}" for i in range(SKETCH)), "grams"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -364,7 +382,8 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     chosen = (profiles.where("n > 0").join(members.select("cid").distinct(), "cid", "left_semi")
               .groupBy("cid").agg(F.min("row_key").alias("row_key")))
     picked = rows.join(chosen, "row_key").select("cid", "text").dropDuplicates(["cid"])
-    sets = stored(picked.mapInArrow(partial(_sets, words=words), "cid long, n long, grams binary"), "sets")
+    sketch = ", ".join(f"s{i} long" for i in range(SKETCH))
+    sets = stored(picked.mapInArrow(partial(_sets, words=words), f"cid long, n long, {sketch}, grams binary"), "sets")
 
     labels = _labels(members, sets, num, den)
     classes = profiles.where("n > 0").groupBy("cid").agg(F.min("key").alias("key"))
@@ -379,15 +398,22 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, label) of all classes with a link, by comparing bucket mates whose labels differ."""
-    sizes = sets.select("cid", "n")
-    members = stored(members.join(sizes, "cid"), "members")
+    words = [f"s{i}" for i in range(SKETCH)]
+    sketches = sets.select("cid", "n", *words)
+    members = stored(members.join(sketches, "cid"), "members")
+
+    def side(frame: DataFrame, name: str, *more: str) -> DataFrame:
+        return frame.select(F.col("cid").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *words)), *more)
+
+    # sizes and sketches that leave a similarity of num / den possible
+    possible = F.expr(
+        f"least(a_n, b_n) * {den} >= greatest(a_n, b_n) * {num} AND "
+        f"({' + '.join(f'bit_count(a_{w} ^ b_{w})' for w in words)}) * {den + num} <= (a_n + b_n) * {den - num}")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}"))
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left = sets.select(F.col("cid").alias("a"), F.col("grams").alias("left"))
         right = sets.select(F.col("cid").alias("b"), F.col("grams").alias("right"))
-        both = near.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return both.mapInArrow(partial(_verified, num=num, den=den), "a long, b long, linked boolean")
 
     labels, tested, links = None, None, None
@@ -400,22 +426,18 @@ def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         order = F.xxhash64("cid", F.lit(turn))
         heads = now.groupBy("value").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), *(
-                F.min_by(F.when(F.col("exact"), F.col(c)), F.when(F.col("exact"), order)).alias(f"p_{c}") for c in ("cid", "n", "label")))
-        heads = heads.where("low < high").drop("low", "high")
-        now = stored(now.join(heads, "value"), "open")
+                F.min_by(F.when(F.col("exact"), F.col(c)), F.when(F.col("exact"), order)).alias(f"p_{c}") for c in ("cid", "label")))
+        now = stored(now.join(heads.where("low < high").drop("low", "high"), "value"), "open")
         if turn < PIVOT_ROUNDS:
-            pairs = now.where("label <> p_label").select(F.col("cid").alias("a"), F.col("n").alias("na"),
-                                                         F.col("p_cid").alias("b"), F.col("p_n").alias("nb"))
+            pairs = now.where("label <> p_label").select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
+            pairs = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(possible).select("a", "b")
         else:
-            left = now.where("exact").select("value", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            right = now.select("value", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "exact")
-            pairs = left.join(right, "value").where("la <> lb AND (a < b OR NOT exact)").select("a", "na", "b", "nb")
+            left = side(now.where("exact"), "a", "value", F.col("label").alias("la"))
+            right = side(now, "b", "value", F.col("label").alias("lb"), "exact")
+            pairs = left.join(right, (left["value"] == right["value"]) & F.expr("la <> lb AND (a < b OR NOT exact)") & possible)
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
-            known = tested.select("a", "b")
-            pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                                  F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                                  F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-                     .distinct().join(known, ["a", "b"], "left_anti"))
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(compare(pairs), "compared")
         tested = found if tested is None else tested.unionByName(found)
         links = tested.where("linked")
