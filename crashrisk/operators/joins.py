@@ -52,19 +52,20 @@ def speed_by_point(points: DataFrame, intervals: DataFrame, base_speed: Column,
     """Speed of the last interval covering each polyline point, else the base speed.
 
     ``points``: trip_id, route_index, point_index; ``intervals``: start_idx, end_idx
-    (inclusive), interval_pos. Intervals are unrolled to point indices, so this is an
-    equi-join; indices outside the route find no point. Only the winner of a point is
-    joined, so intervals can overlap without multiplying rows.
+    (inclusive), interval_pos. A route's intervals become one list, last first, which is
+    joined to its points by the route alone; each point takes the first that covers it.
+    So indices far outside the route cost nothing, and intervals can overlap without
+    multiplying rows.
     """
-    keys = ["trip_id", "route_index", "point_index"]
-    covered = (
+    route = ["trip_id", "route_index"]
+    lists = (
         intervals.where(F.col("end_idx") >= F.greatest(F.col("start_idx"), F.lit(0)))
-        .select("trip_id", "route_index", "interval_pos", interval_speed.alias("_speed"),
-                F.explode(F.sequence(F.greatest(F.col("start_idx"), F.lit(0)), F.col("end_idx"))).alias("point_index"))
-        .groupBy(*keys).agg(F.max_by("_speed", "interval_pos").alias("_speed"))
+        .groupBy(*route).agg(F.sort_array(F.collect_list(F.struct(
+            "interval_pos", "start_idx", "end_idx", interval_speed.alias("speed"))), asc=False).alias("_intervals"))
     )
-    return points.join(covered, keys, "left").withColumn(
-        "speed_limit", F.coalesce("_speed", base_speed)).drop("_speed")
+    covering = F.filter("_intervals", lambda i: (i["start_idx"] <= F.col("point_index")) & (i["end_idx"] >= F.col("point_index")))
+    return points.join(lists, route, "left").withColumn(
+        "speed_limit", F.coalesce(F.get(covering, F.lit(0))["speed"], base_speed)).drop("_intervals")
 
 
 def compare_with_previous(current: DataFrame, previous: DataFrame, key: str = "year") -> DataFrame:

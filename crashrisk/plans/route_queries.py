@@ -74,36 +74,42 @@ def _(spark, d):
 r AS (SELECT trip_id, count(*) AS n, arg_min(route_index, score * 1000 + route_index) AS x, count(*) FILTER (WHERE route_index = 0) AS z FROM summary GROUP BY trip_id),
 p AS (SELECT r.trip_id, n, x, b.hot AS bh, b.high AS bx, b.dur AS bd, b.score AS bs, f.hot AS fh, f.high AS fx, f.dur AS fd, f.score AS fs,
   round(b.dur - f.dur, 1) AS gap FROM r JOIN summary b ON b.trip_id = r.trip_id AND b.route_index = x JOIN summary f ON f.trip_id = r.trip_id AND f.route_index = 0)""",
-    then="""SELECT trip_id, x AS recommended_route_index, CASE WHEN n = 1 THEN 'one' WHEN x = 0 AND bh = 0 THEN 'default clean'
-  WHEN x = 0 THEN 'default ' || bh || ' ' || bx ELSE 'alternative ' || x || CASE WHEN bx < fx THEN ' high ' || (fx - bx)
-  WHEN bh < fh THEN ' total ' || (fh - bh) ELSE ' score' END || CASE WHEN abs(gap) < 0.5 THEN ' same' WHEN gap > 0 THEN ' extra' ELSE ' saving' END END AS reason_kind FROM p"""))
+    then="""SELECT trip_id, x AS recommended_route_index, CASE WHEN n = 1 THEN 'There is no other route to choose.'
+  WHEN x = 0 THEN printf('Stay on route 0: hotspots %d, high %d, and nothing offered scores lower.', bh, bx)
+  ELSE printf('Take route %d: hotspots %d, high %d, where route 0 has %d and %d; ', x, bh, bx, fh, fx)
+    || CASE WHEN abs(gap) < 0.5 THEN 'in about the same time' WHEN gap > 0 THEN printf('%.1f min slower', gap) ELSE printf('%.1f min faster', -gap) END || '.'
+  END AS reason FROM p"""))
 def _(spark, d):
-    out = R.recommendations(R.roll_up_routes(segments(spark, d)))
-    text = F.col("reason")
-
-    def part(pattern, group=1):
-        return F.regexp_extract(text, pattern, group)
-
-    kind = (
-        F.when(text.startswith("Only one"), "one").when(text.startswith("Default route is already"), "default clean")
-        .when(text.startswith("Default"), F.concat(F.lit("default "), part(r"with (\d+) hot"), F.lit(" "), part(r"\((\d+) high")))
-        .otherwise(F.concat(
-            F.lit("alternative "), part(r"Alternative (\d+)"),
-            F.when(text.contains("fewer high-risk"), F.concat(F.lit(" high "), part(r": (\d+) fewer")))
-            .when(text.contains("fewer total"), F.concat(F.lit(" total "), part(r": (\d+) fewer"))).otherwise(" score"),
-            F.when(text.contains("at the same"), " same").when(text.contains("extra min"), " extra").otherwise(" saving"))))
-    return out.select("trip_id", "recommended_route_index", kind.alias("reason_kind"))
-
-
-@query("fn29_explanation_context")
+    return R.recommendations(R.roll_up_routes(segments(spark, d)))
+
+
+# weather, hour and neighbourhood of a trip, as its order has them
+_FACTS = ["o_orderkey % 24 AS hour_of_day", "CASE WHEN o_orderkey % 5 > 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'Clear' WHEN 1 THEN 'Rain' ELSE 'Snow' END END AS condition",
+          "CASE WHEN o_orderkey % 7 > 0 THEN CAST(20.25 AS DOUBLE) + o_orderkey % 60 END AS temperature_f", "o_orderkey % 3 > 0 AS is_precipitation",
+          "o_orderkey % 11 = 0 AS is_low_visibility", "CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 50 END AS nearby_crash_count_1km",
+          "CASE WHEN o_custkey % 4 > 1 THEN o_custkey % 3 END AS nearby_fatal_count_1km", "CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 20 END AS nearby_crash_count_500m"]
+
+
+@query("fn29_explanation_context", V.with_views("routes", more=_SUM + f""",
+best AS (SELECT * FROM summary QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY score, route_index) = 1),
+spots AS (SELECT trip_id, route_index, array_to_string(list('Point ' || pi ORDER BY k)[1:3], ' | ') AS names FROM seg WHERE risk_class <> 'Low' GROUP BY ALL),
+facts AS (SELECT o_orderkey AS trip_id, {", ".join(_FACTS)} FROM orders)""", then="""
+SELECT trip_id, array_to_string(list_filter([printf('trip: %.1f minutes for %.2f miles', dur, dist), 'start hour: ' || hour_of_day,
+  'class: ' || CASE worst WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END || printf(' at %.1f%%', 100 * CASE worst WHEN 2 THEN p_high WHEN 1 THEN p_medium ELSE p_low END),
+  printf('high/medium/low: %.1f%% / %.1f%% / %.1f%%', 100 * p_high, 100 * p_medium, 100 * p_low),
+  'sky: ' || array_to_string(list_filter([condition, printf('%.0f F', temperature_f), CASE WHEN is_precipitation THEN 'wet' END,
+     CASE WHEN is_low_visibility THEN 'poor sight' END], lambda x: x IS NOT NULL), '; '),
+  'past crashes in 1 km: ' || nearby_crash_count_1km || ', of them fatal: ' || coalesce(nearby_fatal_count_1km, 0),
+  'past crashes in 500 m: ' || nearby_crash_count_500m, 'hotspots: high ' || high || ', medium ' || medium || '; ' || names],
+  lambda x: x IS NOT NULL), chr(10)) AS explanation_context
+FROM (SELECT * EXCLUDE (p_high, p_low), p_high + 1e-6 AS p_high, p_low + 1e-6 AS p_low, 1 - p_high - p_low + 1e-6 AS p_medium FROM best) JOIN facts USING (trip_id) LEFT JOIN spots USING (trip_id, route_index)"""))
 def _(spark, d):
     spots = R.hotspots(segments(spark, d)).groupBy("trip_id", "route_index").agg(F.sort_array(F.collect_list(
         F.struct("segment", "risk_class", F.concat(F.lit("Point "), F.col("point_index")).alias("label")))).alias("hotspots"))
     best = R.safest_routes(R.roll_up_routes(segments(spark, d)))
-    trips = best.join(spots, ["trip_id", "route_index"], "left").select(
-        "trip_id", F.col("overall_risk_class").alias("risk_class"), F.col("overall_confidence").alias("confidence"), "p_low", "p_medium", "p_high",
-        "duration_minutes", "distance_miles", F.lit(8).alias("hour_of_day"), F.lit("Rain").alias("condition"), F.lit(51.2).alias("temperature_f"),
-        F.lit(True).alias("is_precipitation"), F.lit(False).alias("is_low_visibility"), F.lit(None).cast("double").alias("nearby_crash_count_1km"),
-        F.lit(None).cast("double").alias("nearby_fatal_count_1km"), F.lit(None).cast("double").alias("nearby_crash_count_500m"),
-        F.coalesce("hotspots", F.array().cast("array<struct<segment:int,risk_class:string,label:string>>")).alias("hotspots"))
+    facts = V.table(spark, d, "orders").selectExpr("o_orderkey AS trip_id", *_FACTS)
+    trips = best.join(spots, ["trip_id", "route_index"], "left").join(facts, "trip_id").withColumns({
+        "risk_class": F.col("overall_risk_class"), "confidence": F.col("overall_confidence") + 1e-6,
+        **{c: F.col(c) + 1e-6 for c in ("p_high", "p_medium", "p_low")},  # off the halves, which engines round either way
+        "hotspots": F.coalesce("hotspots", F.array().cast("array<struct<segment:int,risk_class:string,label:string>>"))})
     return R.explanation_context(trips).select("trip_id", "explanation_context")

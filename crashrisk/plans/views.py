@@ -59,7 +59,7 @@ def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         routes(spark, sf_dir)
         .selectExpr("*", "explode(sequence(0L, num_points - 1)) AS point_index")
         .selectExpr(
-            "trip_id", "route_index", "point_index",
+            "trip_id", "route_index", "point_index", "num_points",
             "42.2D + ((trip_id * 7919 + point_index * 37 + route_index * 101) % 2000) / 10000.0D AS lat",
             "-71.2D + ((trip_id * 104729 + point_index * 53 + route_index * 211) % 2000) / 10000.0D AS lng",
         )

@@ -111,6 +111,24 @@ def test_later_interval_wins_and_outside_indices_are_ignored(spark):
     assert [r["speed_limit"] for r in out.orderBy("point_index").collect()] == [25.0, 25.0, 15.0, 15.0]
 
 
+def test_interval_far_beyond_its_route(spark):
+    points = spark.createDataFrame([(1, 0, i) for i in range(3)], "trip_id int, route_index int, point_index int")
+    intervals = spark.createDataFrame([(1, 0, 0, 1, 3_000_000_000, "SLOW"), (1, 0, 1, 2_000_000_000, 3_000_000_000, "TRAFFIC_JAM")],
+                                      "trip_id int, route_index int, interval_pos int, start_idx long, end_idx long, category string")
+    out = J.speed_by_point(points, intervals, F.lit(35.0), R.speed_by_traffic(F.col("category"), F.lit(35.0)))
+    assert [r["speed_limit"] for r in out.orderBy("point_index").collect()] == [35.0, 25.0, 25.0]
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # no index is unrolled
+
+
+def test_sampled_points_are_those_of_the_index_list(spark):
+    routes = spark.range(0, 60).selectExpr("id AS trip_id", "0L AS route_index", "id AS num_points")
+    points = routes.where("num_points > 0").selectExpr("*", "explode(sequence(0L, num_points - 1)) AS point_index")
+    listed = routes.select("trip_id", F.posexplode(R.sample_indices(F.col("num_points"), 12)).alias("segment", "point_index"))
+    for given in (points, points.drop("num_points")):
+        got = RT.sample_points(given, routes, 12).select("trip_id", "segment", "point_index")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.collect()))
+
+
 def test_known_polyline(spark):
     df = spark.createDataFrame([(1, "_p~iF~ps|U_ulLnnqC_mqNvxq`@"), (2, "")], "id int, line string")
     rows = R.decode_polylines(df, ["id"], "line").orderBy("point_index").collect()
