@@ -348,13 +348,14 @@ def _segment_ranks(profiles: DataFrame) -> tuple[dict[int, np.ndarray], int]:
 
 
 def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of ``df``: its key, n_shingles, class_id (equal for equal sets) and component_id.
+    """One row per row of ``df``: its key, n_shingles, component_id, class_id (equal for equal sets), and more.
 
     Two rows link when their sets of ``words``-word n-grams have a Jaccard similarity of
     num / den or more; component_id is the smallest key reachable by links, itself
     included. A row without words (or with a null text) links with nothing and is its own
     component. Equal rows are one class; rows with a null key take part, and get a null
-    component_id only where no row of the component has a key. Other columns are not read.
+    component_id only where no row of the component has a key; component_class names their
+    component all the same. row_key is the hash of key and text. Other columns are not read.
     """
     spark, scheme = df.sparkSession, Scheme(num, den)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -390,10 +391,26 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     classes = classes.join(labels, F.col("cid") == F.col("node"), "left").select(
         "cid", "key", F.coalesce("label", "cid").alias("label"))
     lowest = classes.groupBy("label").agg(F.min("key").alias("component_id"))
-    classes = classes.join(lowest, "label").select("cid", "component_id")
-    return (profiles.select("key", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(classes, "cid", "left")
-            .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id")))
+    classes = classes.join(lowest, "label").select("cid", "label", "component_id")
+    return (profiles.select("row_key", "key", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(classes, "cid", "left")
+            .select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
+                    F.col("cid").alias("class_id"), F.col("label").alias("component_class"), "row_key"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that stay when of every component only the row with the smallest key does.
+
+    Rows with a null key come after all others, ties go by the text's hash. Rows without
+    words all stay; equal rows (same key, same text) are one row. All columns are kept.
+    """
+    groups = similar_classes(df, key, text, **options)
+    first = (groups.where("n_shingles > 0").groupBy("component_class")
+             .agg(F.min(F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("key"), "row_key")).alias("first")))
+    chosen = first.select(F.col("first.row_key").alias("_row_key")).unionByName(
+        groups.where("n_shingles = 0").select(F.col("row_key").alias("_row_key")).distinct())
+    rows = df.withColumn("_row_key", F.xxhash64(key, text)).dropDuplicates(["_row_key"])
+    return rows.join(chosen, "_row_key", "left_semi").drop("_row_key")
 
 
 def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -202,6 +202,18 @@ def score_toxicity(df: DataFrame, model: Model, key: str = "doc_id", text: str =
     return df.select(key, text).mapInArrow(partial(_scored, model=model, key=key), f"`{key}` {kind}, score double")
 
 
+def _harmless(batches: Iterator[pa.RecordBatch], model: Model, column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = [model.scores(*features(texts)) for _, _, texts in ta.slices(batch.column(column))]
+        if scores:
+            yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
+
+
+def drop_toxic_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose texts the model does not call toxic, with all their columns, where they are."""
+    return df.mapInArrow(partial(_harmless, model=model, column=df.columns.index(text)), df.schema)
+
+
 def held_out(key: str = "doc_id"):
     """True for a fifth of the keys by their CRC-32; a null key is held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
