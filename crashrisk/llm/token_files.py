@@ -27,6 +27,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from crashrisk.session import scratch_path
 #: Ids of a shard (a longer document is a shard of its own), and bytes of text a task tokenises.
 SHARD_IDS, TASK_BYTES = 1 << 21, 64 << 20
 #: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 #: Bits per key in each level of the hash.
 GAMMA = 2.0
 
@@ -69,7 +70,7 @@ class Words:
     def learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at:at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
             n = len(self.number)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             ends = (self.ends[n] if n else 0) + np.cumsum(sizes)
@@ -87,10 +88,11 @@ class Words:
         flat = [w for text in words for w in text]
         if len(self.number) > MOST_WORDS:
             self.clear()
-        new = list(set(flat).difference(self.number))
-        if new:
-            self.learn(new)
-        of = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        of = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            self.learn(list({flat[i] for i in new}))
+            of[new] = [self.number[flat[i]] for i in new]
         begin, size = self.ends[of], self.ends[of + 1] - self.ends[of]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         word_ends = np.concatenate([[0], np.cumsum(size)])
