@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -247,10 +249,32 @@ def test_smote_raises_minorities_and_stays_between_neighbours(spark):
     rows += [(1000 + i, "High", float(x), float(y)) for i, (x, y) in enumerate(rng.normal(10, 1, (40, 2)))]
     out = S.smote(spark.createDataFrame(rows, "id int, c string, x double, y double"), "id", "c", ["x", "y"])
     made = out.where("is_synthetic").toPandas()
-    assert set(made["c"]) == {"High"} and abs(len(made) - 260) <= 20
+    assert set(made["c"]) == {"High"} and len(made) == 260
     assert made["x"].between(6, 14).all() and out.where("NOT is_synthetic").count() == 340
 
 
+def test_smote_does_not_depend_on_its_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, str(c), float(x), float(y), float(rng.integers(3))) for i, (c, x, y) in enumerate(zip(
+        rng.choice(["a", "b", "c"], 900, p=[0.6, 0.3, 0.1]), rng.normal(0, 1, 900), rng.normal(0, 1, 900)))]
+    rows += [(None, "b", 0.0, 0.0, 1.0), (2000, None, 0.0, 0.0, 1.0), (2001, "single", 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, c string, x double, y double, n double")
+    out = [sorted(map(str, S.smote(df.repartition(p), "id", "c", ["x", "y", "n"], block_rows=b).collect())) for b, p in ((256, 3), (7, 5), (64, 1))]
+    assert out[0] == out[1] == out[2]
+    sizes = Counter(r["c"] for r in S.smote(df, "id", "c", ["x", "y", "n"]).collect())
+    assert sizes["a"] == sizes["b"] == sizes["c"] and sizes["single"] == 1
+
+
+def test_smote_neighbours_are_nearly_the_nearest(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 1, (2000, 2))
+    rows = [("a", i, i * 7919 % 2000, [float(v) for v in p]) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "c string, _id int, _h long, _x array<double>").withColumn("_z", F.col("_x"))
+    found = {r["_id"]: {n["_other"] for n in r["_nn"]} for r in S.near_neighbours(df, "c", 2, 5, 8, 60).collect()}
+    exact = np.argsort(((points[:, None] - points[None]) ** 2).sum(-1), axis=1)[:, 1:6]
+    assert np.mean([len(found[i] & set(exact[i].tolist())) / 5 for i in range(2000)]) >= 0.95
+
+
 # --- plans -------------------------------------------------------------------------------
 
 def test_no_cross_joins_or_global_windows_in_core_plans(spark, sf_dir):
