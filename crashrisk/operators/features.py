@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from crashrisk.functions import calendar as C
 from crashrisk.functions.cleaning import safe_name, without_nan
-from crashrisk.operators.joins import lookup, risk_class
+from crashrisk.operators.joins import risk_class
 from crashrisk.operators.lookups import drop_missing
+from crashrisk.operators.ordering import number_rows
 from crashrisk.operators.quantiles import exact_quantiles
 from crashrisk.operators.spatial import SPATIAL_COLUMNS
 
-MAX_VOCABULARY = 2000
-
 
 def medians(df: DataFrame, columns: list[str]) -> Column:
     """Struct of exact medians as a scalar subquery; 0 for a column without values."""
@@ -38,17 +37,15 @@ def name_columns(values: DataFrame, column: str, prefix: str = "") -> DataFrame:
         F.when(F.col("_nth") == 1, F.col("_safe")).otherwise(F.concat("_safe", F.lit("_"), F.col("_nth") - 1)).alias("column_name"))
 
 
-def fit_vocabulary(df: DataFrame, column: str, missing_as: str | None = "Unknown", minimum: int = 1,
-                   limit: int = MAX_VOCABULARY) -> list[str]:
-    """Categories of a column in lexical order; refuses columns with too many of them.
+def fit_vocabulary(df: DataFrame, column: str, missing_as: str | None = "Unknown", minimum: int = 1) -> list[str]:
+    """Categories of a column in lexical order, for a wide table with a column for each.
 
-    Only category names reach the driver, and never more than ``limit`` of them.
+    The names become column names of a plan, so they are held by the driver. Whether a
+    column has few enough for that is the caller's choice; ``SparseEncoder`` takes any
+    number of categories.
     """
     value = F.col(column) if missing_as is None else F.coalesce(column, F.lit(missing_as))
-    found = (df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").count()
-             .where(F.col("count") >= minimum).limit(limit + 1).collect())
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; use the sparse encoder")
+    found = df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").count().where(F.col("count") >= minimum).collect()
     return sorted(r["v"] for r in found)
 
 
@@ -131,7 +128,55 @@ def feature_names(matrix: DataFrame, key: str = "id", label: str = "severity_cla
     return [c for c in matrix.columns if c not in (key, label)]
 
 
+def code_table(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): the distinct values of a column and their places in lexical order, from 0.
+
+    Values are numbered through a range partitioning, so there may be any number of them.
+    """
+    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    return number_rows(values, ["value"], "code", start=0)
+
+
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Class -> 0..k-1 in sorted order; refuses columns with too many classes."""
-    codes = {name: i for i, name in enumerate(fit_vocabulary(df, column, missing_as=None))}
-    return df.withColumn("code", lookup(F.col(column), codes))
+    """Class -> 0..k-1 in sorted order, as column ``code``; null for a null class."""
+    codes = code_table(df, column).select(F.col("value").alias("_value"), F.col("code").cast("int").alias("code"))
+    return df.join(codes, df[column] == F.col("_value"), "left").drop("_value")
+
+
+class SparseEncoder:
+    """Numbers and one-hot blocks side by side as sparse rows, for columns with any number of categories.
+
+    Fitting numbers the categories of every column; only their counts reach the driver. A
+    row gets ``size``, ``indices`` and ``values``: the numbers first, then a 1 in each
+    column's block. Null and unseen categories leave their block empty, null numbers are 0.
+    """
+
+    def __init__(self, train: DataFrame, categories: list[str], numbers: list[str]):
+        self.numbers = numbers
+        self.tables = {c: code_table(train, c) for c in categories}
+        self.starts, at = {}, len(numbers)
+        for c, table in self.tables.items():
+            self.starts[c] = at
+            at += table.count()
+        self.size = at
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for i, (c, table) in enumerate(self.tables.items()):
+            codes = table.select(F.col("value").alias(f"_value_{i}"), (F.col("code") + self.starts[c]).alias(f"_code_{i}"))
+            out = out.join(codes, out[c] == F.col(f"_value_{i}"), "left").drop(f"_value_{i}")
+        hot = F.array_compact(F.array(*[F.col(f"_code_{i}") for i in range(len(self.tables))]))
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.numbers]
+        return out.withColumns({
+            "size": F.lit(self.size).cast("bigint"),
+            "indices": F.concat(F.array(*[F.lit(i).cast("bigint") for i in range(len(numbers))]).cast("array<bigint>"), hot),
+            "values": F.concat(F.array(*numbers).cast("array<double>"), F.transform(hot, lambda _: F.lit(1.0))),
+        }).drop(*[f"_code_{i}" for i in range(len(self.tables))])
+
+
+def to_vectors(df: DataFrame, name: str = "features") -> DataFrame:
+    """Sparse rows as a vector column that the fits read (one Python call a row; nothing is collected)."""
+    from pyspark.ml.linalg import VectorUDT, Vectors
+
+    vector = F.udf(lambda size, indices, values: Vectors.sparse(size, indices, values), VectorUDT())
+    return df.withColumn(name, vector("size", "indices", "values")).drop("size", "indices", "values")

@@ -98,15 +98,22 @@ def _(spark, d):
 
 
 @query("ml20_label_codes", """
-SELECT o_orderkey, o_orderpriority, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code FROM orders""")
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INTEGER) AS code FROM orders""")
 def _(spark, d):
-    return X.label_codes(V.table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
+    return X.label_codes(V.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer")), "customer")
 
 
-@query("ml20_sparse_assembly")
+@query("ml20_sparse_assembly", V.with_views("accidents", more="""
+s AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM (SELECT DISTINCT State AS v FROM accidents WHERE State IS NOT NULL)),
+c AS (SELECT v, row_number() OVER (ORDER BY v) + (SELECT count(*) FROM s) AS k FROM (SELECT DISTINCT City AS v FROM accidents WHERE City IS NOT NULL))""",
+    then="""SELECT ID, 1 + (SELECT count(*) FROM s) + (SELECT count(*) FROM c) AS size,
+  array_to_string(list_filter([0, s.k, c.k], lambda x: x IS NOT NULL), ',') AS indices, 1 + (s.k IS NOT NULL)::INTEGER + (c.k IS NOT NULL)::INTEGER AS n_values,
+  coalesce(Temperature, 0.0) AS first_value FROM accidents a LEFT JOIN s ON s.v = a.State LEFT JOIN c ON c.v = a.City"""))
 def _(spark, d):
-    df = V.accidents(spark, d).select("ID", "State", "City", F.coalesce("Temperature", F.lit(0.0)).alias("Temperature"))
-    return M.sparse_features(df, ["State", "City"], ["Temperature"]).transform(df).select("ID", F.col("features").cast("string").alias("features"))
+    df = V.accidents(spark, d).select("ID", "State", "City", "Temperature")
+    out = X.SparseEncoder(df, ["State", "City"], ["Temperature"]).transform(df)
+    return out.select("ID", "size", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"),
+                      F.size("values").alias("n_values"), F.col("values")[0].alias("first_value"))
 
 
 def topics(spark, d):

@@ -91,9 +91,22 @@ def test_column_names_that_collide_are_numbered(spark):
     assert row.asDict() == {"w_A_B": 0, "w_A_B_1": 1}
 
 
-def test_vocabulary_refuses_too_many_categories(spark):
-    with pytest.raises(ValueError, match="more than 3"):
-        X.fit_vocabulary(text_frame(spark, list("abcde")), "v", limit=3)
+def test_codes_of_any_number_of_classes(spark):
+    rows = [(i, f"c{i * 7919 % 3000}" if i % 10 else None) for i in range(6000)]
+    out = X.label_codes(spark.createDataFrame(rows, "id int, c string"), "c").collect()
+    place = {v: k for k, v in enumerate(sorted({v for _, v in rows if v is not None}))}
+    assert len(place) > 2000 and sorted((r["id"], r["code"]) for r in out if r["code"] is not None) == sorted((i, place[v]) for i, v in rows if v)
+    assert sum(r["code"] is None for r in out) == 600
+
+
+def test_sparse_rows(spark):
+    train = spark.createDataFrame([("b", "x", 1.5), ("a", None, None), ("a", "y", 2.0)], "p string, q string, n double")
+    encoder = X.SparseEncoder(train, ["p", "q"], ["n"])
+    rows = spark.createDataFrame([(0, "a", "y", 3.0), (1, "new", None, None)], "id int, p string, q string, n double")
+    got = {r["id"]: (r["size"], r["indices"], r["values"]) for r in encoder.transform(rows).collect()}
+    assert got == {0: (5, [0, 1, 4], [3.0, 1.0, 1.0]), 1: (5, [0], [0.0])}
+    vectors = {r["id"]: r["features"].toArray().tolist() for r in X.to_vectors(encoder.transform(rows)).collect()}
+    assert vectors == {0: [3.0, 1.0, 0.0, 0.0, 1.0], 1: [0.0] * 5}
 
 
 # --- routes ------------------------------------------------------------------------------
