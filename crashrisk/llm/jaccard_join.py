@@ -252,8 +252,9 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks: dict[int, np.ndarray], buc
             keep = (code < 0) | (units - base <= need[owner])
             exact = ((code < 0) | (code % 2 == 0)).astype(np.uint64)
             held.append(((value & ~np.uint64(1) | exact)[keep], cid[owner[keep]]))
-        if sum(len(v) for v, _ in held) >= 2_000_000:
+        if sum(len(v) for v, _ in held) >= 500_000:
             yield from flush()
+            ta.give_back()
     if sum(len(v) for v, _ in held):
         yield from flush()
 

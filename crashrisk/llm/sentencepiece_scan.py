@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 from crashrisk.llm import textarrays as ta
 from crashrisk.llm.components import stored
 from crashrisk.llm.registry import query
-from crashrisk.llm.token_files import MOST_WORDS, vocabulary_file
+from crashrisk.llm.token_files import vocabulary_file
 
 #: Characters from which a document is giant, and of its chunks.
 GIANT, CHUNK = 1 << 16, 1 << 13
+#: Words whose ids a worker remembers.
+MOST_WORDS = 400_000
 MARK = "▁"
 _MARK = MARK.encode()
 NEVER = -(1 << 60)
@@ -69,6 +71,19 @@ class Vocabulary:
         self.reach: dict[str, int] = {}  # the longest piece with these first two characters
         for piece in self.pieces:
             self.reach[piece[:2]] = max(self.reach.get(piece[:2], 0), len(piece))
+        # the pieces of each length in bytes: a first look by 16 bits of the hash, then sorted hashes
+        self.by_length: dict[int, tuple] = {}
+        by_size: dict[int, list[str]] = {}
+        for piece in self.pieces:
+            by_size.setdefault(len(piece.encode()), []).append(piece)
+        for length, same in sorted(by_size.items()):
+            data = np.frombuffer("".join(same).encode(), np.uint8)
+            at = np.arange(len(same)) * length
+            hashes = ta.range_hashes(ta.prefix_sums(data), at, at + length)
+            order, maybe = np.argsort(hashes), np.zeros(1 << 16, dtype=bool)
+            maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+            found = [self.pieces[same[i]] for i in order]
+            self.by_length[length] = (maybe, hashes[order], np.array([i for i, _ in found]), np.array([v for _, v in found]))
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("pieces with a space mark inside are not supported")
         self.unknown = model.unk_id()
@@ -125,21 +140,95 @@ class Vocabulary:
     # --- ordinary documents ---------------------------------------------------
 
     def learn(self, words: list[bytes]) -> None:
-        found = []
-        for word in words:
-            text = MARK + word.decode("utf-8", "replace")
-            _, back = self.forward(text, len(text), [0])
-            found.append(self.trace(text, back, len(text))[1])
-        n, sizes = len(self.number), np.fromiter(map(len, found), np.int64, len(found))
+        for at in range(0, len(words), 20_000):
+            self._remember(words[at:at + 20_000])
+
+    def _remember(self, words: list[bytes]) -> None:
+        ids, sizes = self.cut([_MARK + w for w in words])
+        n = len(self.number)
         ends = (self.ends[n] if n else 0) + np.cumsum(sizes)
         while n + len(words) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while ends[-1] > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[ends[0] - sizes[0]:ends[-1]] = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+        self.pool[ends[0] - sizes[0]:ends[-1]] = ids
         self.ends[n + 1:n + 1 + len(words)] = ends
         self.number.update(zip(words, range(n, n + len(words))))
 
+    def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, how many each has): the recurrence over many words at once, place by place."""
+        blob = b"".join(words)
+        try:
+            blob.decode()
+        except UnicodeDecodeError:
+            words = [w.decode("utf-8", "replace").encode() for w in words]
+            blob = b"".join(words)
+        data, size = np.frombuffer(blob, np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        word_end = np.cumsum(size)
+        begin = word_end - size
+        inside = np.arange(len(data)) - np.repeat(begin, size)  # each byte's place in its word
+        left = np.repeat(size, size) - inside  # bytes to the word's end
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        sums = ta.prefix_sums(data)
+        edges = []  # (first byte, bytes, id, score) of all pieces found in the words
+        for length, (maybe, hashes, ids, scores) in self.by_length.items():
+            at = heads[left[heads] >= length]
+            if len(at):
+                found = ta.range_hashes(sums, at, at + length)
+                likely = maybe[(found & np.uint64(0xFFFF)).astype(np.int64)]
+                at, found = at[likely], found[likely]
+                place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                hit = hashes[place] == found
+                edges.append((at[hit], np.full(hit.sum(), length), ids[place[hit]], scores[place[hit]]))
+        # characters that are no piece by themselves
+        width = np.diff(np.append(heads, len(data)))
+        single = np.zeros(len(data), dtype=bool)
+        for at, length, _, _ in edges:
+            next_head = at + width[np.searchsorted(heads, at)]
+            single[at[next_head == at + length]] = True
+        lone = ~single[heads]
+        edges.append((heads[lone], width[lone], np.full(lone.sum(), -1), np.full(lone.sum(), self.unknown_score)))
+        at, length, ids, scores = (np.concatenate(x).astype(np.int64) for x in zip(*edges))
+
+        # best[p + word number] is the best score up to byte p of the word; a word of n bytes has n + 1 places
+        shift = np.repeat(np.arange(len(words)), size)
+        best = np.full(len(data) + len(words), NEVER, dtype=np.int64)
+        first = begin + np.arange(len(words))
+        best[first] = 0
+        back, piece = np.zeros(len(best), dtype=np.int64), np.zeros(len(best), dtype=np.int64)
+        source = at + shift[at]
+        target = source + length
+        order = np.argsort(inside[at], kind="stable")
+        cuts = np.searchsorted(inside[at][order], np.arange(int(size.max(initial=0)) + 1))
+        for a, b in zip(cuts, cuts[1:]):  # all pieces that begin at the same place of their words: no two end at one place
+            part = order[a:b]
+            score = best[source[part]] + scores[part]
+            part = part[(best[source[part]] > NEVER) & (score > best[target[part]])]
+            best[target[part]] = best[source[part]] + scores[part]
+            back[target[part]], piece[target[part]] = source[part], ids[part]
+
+        # back from all ends at once
+        steps, place, word = [], first + size, np.arange(len(words))
+        while len(word):
+            open_ones = place > first[word]
+            place, word = place[open_ones], word[open_ones]
+            if len(word):
+                steps.append((word, back[place], place, piece[place]))
+                place = back[place]
+        if not steps:
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        word, source, target, ids = (np.concatenate(x) for x in zip(*steps))
+        order = np.lexsort((source, word))
+        word, source, target, ids = word[order], source[order], target[order], ids[order]
+        unknown = ids < 0
+        count = np.where(unknown & self.has_bytes, target - source, 1)
+        out = np.repeat(np.where(unknown, self.unknown, ids), count).astype(np.int32)
+        if self.has_bytes and unknown.any():
+            spread = np.repeat(unknown, count)
+            where = np.repeat(source - word, count) + np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
+            out[spread] = np.array(self.byte_ids, dtype=np.int32)[data[where[spread]]]
+        return out, np.bincount(word, weights=count, minlength=len(words)).astype(np.int64)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, where each text's begin; one more at the end)."""
         words = [_words(t) for t in texts]

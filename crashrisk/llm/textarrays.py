@@ -6,6 +6,8 @@ modulo 2**64 and then mixed. Equal texts give equal hashes on every worker.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and their C library keeps what large arrays held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, row after the last, UTF-8 texts) for runs of rows of about ``most_bytes``.
 
     A null is an empty text. A text longer than ``most_bytes`` is a run of its own.
@@ -57,6 +66,7 @@ def slices(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, in
             last += 1
         yield first, last, blobs.slice(first, last - first).to_pylist()
         first = last
+    give_back()
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
