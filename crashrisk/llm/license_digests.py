@@ -126,8 +126,8 @@ def known_texts() -> list[tuple[str, str]]:
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id) of known licences, one identifier for each digest."""
     table = spark.createDataFrame(known_texts() if texts is None else texts, "license_id string, text string")
-    return table.select(F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), "license_id").groupBy("digest").agg(
-        F.min("license_id").alias("license_id"))
+    forms = table.select(canonical(F.col("text")).alias("form"), "license_id").where("form <> ''")  # no words, no licence
+    return forms.groupBy(F.md5(F.col("form").cast("binary")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(df: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,8 +142,7 @@ def scan_licenses(df: DataFrame, known: DataFrame, key: str = "doc_id", text: st
     known = F.broadcast(known.select("digest", "license_id"))
     rows = df.select(F.xxhash64(key, text).alias("row_key"), F.col(key).alias("key"), F.col(text).alias("text"))
     lines = rows.where("text IS NOT NULL").select("row_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.withColumn("form", canonical(F.col("line"))).where("form <> ''")
-    notices = (lines.select("row_key", "at", F.md5(F.col("form").cast("binary")).alias("digest")).join(known, "digest")
+    notices = (lines.select("row_key", "at", F.md5(canonical(F.col("line")).cast("binary")).alias("digest")).join(known, "digest")
                .groupBy("row_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notice_ids"),
                                        F.countDistinct("at").alias("n_notices")))
     whole = rows.select("row_key", "key", F.md5(canonical(F.col("text")).cast("binary")).alias("digest")).join(known, "digest", "left")
