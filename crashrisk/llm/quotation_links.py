@@ -158,15 +158,17 @@ def _threads(links: DataFrame) -> DataFrame:
     """
     state = links.select("conv", "turn", F.coalesce("parent_conv", "conv").alias("thread_conv"),
                          F.coalesce("parent_turn", "turn").alias("thread_turn"),
-                         F.when(F.col("parent_conv").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth"))
-    while True:
+                         F.when(F.col("parent_conv").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth"),
+                         F.col("parent_conv").isNotNull().alias("open"))
+    while not (climbing := state.where("open")).isEmpty():
         up = state.select(F.col("conv").alias("thread_conv"), F.col("turn").alias("thread_turn"), F.col("thread_conv").alias("u_conv"),
-                          F.col("thread_turn").alias("u_turn"), F.col("depth").alias("u_depth"))
-        state = stored(state.join(up, ["thread_conv", "thread_turn"]).select(
+                          F.col("thread_turn").alias("u_turn"), F.col("depth").alias("u_depth"), F.col("open").alias("u_open"))
+        # messages that have found their thread's first one climb no more
+        climbed = climbing.join(up, ["thread_conv", "thread_turn"]).select(
             "conv", "turn", F.col("u_conv").alias("thread_conv"), F.col("u_turn").alias("thread_turn"),
-            (F.col("depth") + F.col("u_depth")).alias("depth"), (F.col("u_depth") > 0).alias("moved")), "threads")
-        if state.where("moved").isEmpty():
-            return links.join(state.drop("moved"), ["conv", "turn"])
+            (F.col("depth") + F.col("u_depth")).alias("depth"), F.col("u_open").alias("open"))
+        state = stored(state.where("NOT open").unionByName(climbed), "threads")
+    return links.join(state.drop("open"), ["conv", "turn"])
 
 
 @query("op4_quotation_links")
