@@ -3,7 +3,9 @@
 Text nodes of a page are grouped by their path of tags from the root. A path's ratios are
 its text length and its punctuation per node; the two are fused, smoothed along the page
 and held against the spread of the page's scores. Paths above it point to the element
-that holds the article, and that element's nodes are the result. Elements that say they
+that holds the article: an <article> or <main> with most of their text, or else the
+innermost one with all of it and nearly all of the page's. That element's nodes are the
+result. Elements that say they
 are something else (menus, footers, adverts, forms, ...) score nothing and are left out.
 
 Pages are judged one by one: no shuffle and no state.
@@ -53,6 +55,11 @@ _MARKS = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[
 _PUNCTUATION = re.compile(r"[.,;:!?…،。，、！？；：]")
 #: Share of the greatest path score that a path needs at most, and standard deviations of the node scores it needs otherwise.
 MOST_SHARE, DEVIATIONS = 0.5, 1.0
+#: Share of the page's text that is no link and not outside which an element must hold to be the article without saying so.
+LEAST_KEPT = 0.8
+#: Elements that are never the article nor hold all of it, and those that are not but may hold it.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption".split())
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
 #: Weight of paths inside an element that says it is the article.
 ARTICLE_WEIGHT = 4.0
 
@@ -139,6 +146,9 @@ def main_text(page: str) -> list[str]:
     filled = [(element, text) for element, _, text in nodes if text.strip()]
     if not filled:
         return []
+    root = filled[0][0]
+    while root.parent is not None:
+        root = root.parent
     counts, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
     for element, text in filled:
         counts[element.path] += 1
@@ -155,20 +165,25 @@ def main_text(page: str) -> list[str]:
     needed = min(MOST_SHARE * max(level.values()), float(scores.mean() + DEVIATIONS * scores.std()))
     chosen = {p for p, v in level.items() if v >= needed}
 
-    # the element that holds most of the chosen text: step down while one child keeps nearly all of it
+    # chosen text, and all text that is no link, in every element
     held: dict[_Element, int] = defaultdict(int)
-    total = 0
+    kept: dict[_Element, int] = defaultdict(int)
     for element, text in filled:
-        if element.path in chosen:
-            size = len(text.strip())
-            total += size
-            while element is not None:
-                held[element] += size
-                element = element.parent
-    inside = [e for e, size in held.items() if 2 * size > total and e.tag not in INLINE and e.tag not in ("p", "h1", "h2", "h3")]
-    if not inside:
-        return []
-    best = max(inside, key=lambda e: (e.tag in ("article", "main"), e.depth))
+        size, up = len(text.strip()), element
+        picked, own = size if element.path in chosen else 0, 0 if element.link else size
+        while up is not None:
+            held[up] += picked
+            kept[up] += own
+            up = up.parent
+    articles = [e for e, size in held.items() if e.tag in ("article", "main") and 2 * size > held[root]]
+    best = max(articles, key=lambda e: e.depth, default=root)
+    if not articles:
+        # step down while one child keeps all chosen text and nearly all of the page's
+        for e in sorted((e for e, size in held.items() if size == held[root]), key=lambda e: e.depth):
+            if e.tag in PARTS or kept[e] < LEAST_KEPT * kept[root]:
+                break
+            if e.tag not in INLINE and e.tag not in TABLE:
+                best = e
     blocks: dict[int, list[str]] = defaultdict(list)
     for element, block, text in nodes:
         up = element

@@ -30,6 +30,31 @@ def test_page_without_an_article_element():
                                "Second long paragraph, with text. It goes on, too, as paragraphs do.", "Point one, of some length.", "Short."]
 
 
+def test_articles_of_several_parts_are_whole():
+    """Without <article> or <main> no section, list, quote or cell stands for the whole."""
+    def words(n, word):
+        return ", ".join([word] * n) + "."
+
+    def page(*blocks):
+        parts = "".join(f"{begin}{text}{end}" for begin, text, end in blocks)
+        return main_text(f"<body><nav>menu</nav><div><h2>Title</h2>{parts}</div></body>"), ["Title", *(t for _, t, _ in blocks)]
+
+    for blocks in (
+        [("<section><p>", words(60, "one"), "</p></section>"), ("<section><p>", words(40, "two"), "</p></section>")],
+        [("<p>", words(10, "before"), "</p>"), ("<ul><li>", words(80, "long"), "</li>"), ("<li>", words(9, "short"), "</li></ul>")],
+        [("<p>", words(20, "before"), "</p>"), ("<blockquote>", words(90, "quote"), "</blockquote>"), ("<p>", words(20, "after"), "</p>")],
+        [("<p>", words(20, "before"), "</p>"), ("<pre>", words(90, "code"), "</pre>"), ("<p>", words(20, "after"), "</p>")],
+        [("<p>", words(20, "before"), "</p>"), ("<table><tr><td>", words(90, "cell"), "</td></tr></table>"), ("<p>", words(20, "after"), "</p>")],
+        [("<section><blockquote>", words(60, "quote"), "</blockquote></section>"),
+         *(("<section><p>", words(5, f"p{i}"), "</p></section>") for i in range(20))],
+        [("<blockquote><div>", words(90, "quote"), "</div></blockquote>"), ("<p>", words(5, "after"), "</p>")],
+    ):
+        got, want = page(*blocks)
+        assert got == want, blocks[0]
+    assert main_text("<body><div><a href=x>" + words(40, "link") + "</a></div><table><tr><td><div><p>" + words(30, "cell") + "</p></div></td></tr></table>"
+                     ) == [words(30, "cell")]
+
+
 def test_odd_pages():
     assert main_text("") == [] and main_text("<p>") == [] and main_text("<script>x") == []
     assert main_text("plain text, no tags.") == ["plain text, no tags."]
