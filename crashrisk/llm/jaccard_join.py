@@ -214,11 +214,12 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks: dict[int, np.ndarray], buc
         new[1:] = (value[1:] != value[:-1]) | (cid[1:] != cid[:-1])
         value, cid = value[new], cid[new]
         group = np.cumsum(np.concatenate([[True], value[1:] >> np.uint64(1) != value[:-1] >> np.uint64(1)])) - 1
-        first = np.searchsorted(group, group)
+        last = np.searchsorted(group, group, side="right") - 1
         direct = np.bincount(group)[group] > DIRECT_CLASSES
         bucket = ((value >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        # a value that goes out as rows leaves its first member in the bucket, so that others meet it there
-        in_bucket = ~direct | (np.arange(len(value)) == first)
+        # a value that goes out as rows leaves its last member in the bucket, which is no neighbour if it has one
+        # that is none, so that others meet it there
+        in_bucket = ~direct | (np.arange(len(value)) == last)
         for at, sign in ((np.flatnonzero(in_bucket), 1), (np.flatnonzero(direct), -1)):
             at = at[np.argsort(bucket[at], kind="stable")]
             kinds, starts = np.unique(bucket[at], return_index=True)

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crashrisk.llm import jaccard_join
@@ -78,6 +79,29 @@ def test_near_copies(spark, monkeypatch, k, num, den):
     assert result(similar_classes(frame, words=k, num=num, den=den)) == brute(rows, k, num, den)
 
 
+def test_values_of_many_classes_meet_neighbours_of_other_flushes(monkeypatch):
+    """What a flush sends out as rows still meets a class that another one holds as a neighbour only."""
+    monkeypatch.setattr(jaccard_join, "DIRECT_CLASSES", 2)
+    value = 12345 << 20
+
+    def flush(classes):
+        """The packed rows of classes that show one value, (class, is it a neighbour)."""
+        n = len(classes)
+        batch = pa.record_batch({"cid": pa.array([c for c, _ in classes], pa.int64()), "need": pa.array([1] * n, pa.int64())}
+                                | {"band0": pa.array([0] * n, pa.int32()), "codes0": pa.array([[int(near)] for _, near in classes], pa.list_(pa.int32())),
+                                   "values0": pa.array([[value]] * n, pa.list_(pa.int64()))}
+                                | {"band1": pa.array([0] * n, pa.int32()), "codes1": pa.array([[]] * n, pa.list_(pa.int32())),
+                                   "values1": pa.array([[]] * n, pa.list_(pa.int64()))})
+        return list(jaccard_join._packed(iter([batch]), {0: np.array([0, 1])}, 1))
+
+    for flushes in ([[(1, True), (2, True), (3, False)], [(4, True)], [(5, True), (6, True)]],
+                    [[(1, True), (2, True), (3, True)], [(4, False)], [(5, True), (6, True), (7, True)]]):
+        packed = [batch for classes in flushes for batch in flush(classes)]
+        met = {(r["cid"], r["exact"]) for batch in jaccard_join._members(iter(packed)) for r in batch.to_pylist()}
+        assert {c for c, _ in met} == {c for classes in flushes for c, _ in classes}
+        assert {c for c, exact in met if exact} == {c for classes in flushes for c, near in classes if not near}
+
+
 def test_edges(edges):
     assert result(similar_classes(edges, words=3, num=90, den=100)) == brute(EDGES, 3, 90, 100)
 
