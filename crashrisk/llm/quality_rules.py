@@ -29,8 +29,9 @@ DUPLICATE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
 #: Largest share of word characters in lines that repeat an earlier line.
 LINE_CHARS_LIMIT = 0.20
-#: The top n-gram rules judge texts of at least so many words; in shorter ones any repeated n-gram has a large share.
-TOP_LEAST_WORDS = 100
+#: The top n-gram rules judge texts in which it stands at least so many times, and all texts of so many words; in
+#: shorter ones an n-gram that stands there just twice has a large share.
+TOP_LEAST_TIMES, TOP_LEAST_WORDS = 3, 100
 
 SHARES = ([f"dup_{n}" for n in DUPLICATE_LIMITS] + [f"top_{n}" for n in TOP_LIMITS] + ["dup_line_chars"])
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -71,7 +72,7 @@ def _most_frequent(number: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """The counts and shares of every text, as one array per column."""
+    """The counts and shares of every text, as one array per column, and how often its top n-grams stand there (``n_top_``)."""
     n_texts = len(texts)
     data, starts = ta.joined(texts)
     first, end = ta.word_bounds(data)
@@ -111,7 +112,9 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         grams = ta.window_hashes(hashes, width)[at] ^ salt[owner[at]]
         number, before = _repeats(grams)
         if width in TOP_LIMITS:
-            out[f"top_{width}"] = share(_covered(at[_most_frequent(number, owner[at])], width, n))
+            top = at[_most_frequent(number, owner[at])]
+            out[f"top_{width}"] = share(_covered(top, width, n))
+            out[f"n_top_{width}"] = per_text(owner[top])
         if width in DUPLICATE_LIMITS:
             out[f"dup_{width}"] = share(_covered(at[before], width, n))
         repeated = at[number >= 0]
@@ -132,7 +135,7 @@ def verdict(figures: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for n, limit in DUPLICATE_LIMITS.items():
         kept &= figures[f"dup_{n}"] <= limit
     for n, limit in TOP_LIMITS.items():
-        kept &= (figures[f"top_{n}"] <= limit) | (n_words < TOP_LEAST_WORDS)
+        kept &= (figures[f"top_{n}"] <= limit) | (figures[f"n_top_{n}"] < TOP_LEAST_TIMES) & (n_words < TOP_LEAST_WORDS)
     return failed, kept
 
 

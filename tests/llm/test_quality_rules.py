@@ -51,5 +51,17 @@ def test_verdict(spark):
     assert got == {0: (False, True), 1: (False, True), 2: (True, False), 3: (True, False)}
 
 
+@pytest.mark.parametrize("n_words", [30, 60, 99, 102])
+def test_top_grams_of_short_texts(spark, n_words):
+    """One repeated pair or triple between changing words fails at every size; a pair that stands there twice does not."""
+    pair = [w for i in range(n_words // 3) for w in ("cheap", "pills", f"w{i}")]
+    triple = [w for i in range(n_words // 4) for w in ("buy", "cheap", "pills", f"w{i}")]
+    clean = [f"word{i}" for i in range(n_words)]
+    clean[3:5] = clean[-5:-3] = ["extraordinarily", "straightforward"]
+    rows = [(i, " ".join(words)) for i, words in enumerate((pair, triple, clean))]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in repetition_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (False, False), 1: (False, False), 2: (False, True)}
+
+
 def test_empty_table(nothing):
     assert repetition_rules(nothing).count() == 0
