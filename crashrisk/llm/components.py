@@ -12,11 +12,31 @@ from pyspark.sql import functions as F
 from crashrisk.session import scratch_path
 
 
+#: Whether the shuffle files of a query go when it ends; what was written does not need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again, which cuts the lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write to the shared folder and read again, which cuts the lineage; the shuffle files behind it go at once."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # planned anew, under the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            java = table.sparkSession._jvm
+            path = java.org.apache.hadoop.fs.Path(table.stored_at)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +60,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for every node of the links (a, b), label being the component's smallest node.
+    """A stored table (node, label) of every node of the links (a, b), label being the component's smallest node.
 
     Both are 64-bit integers; nulls and self-links are ignored. Every round is two
     joins of equal keys; links only ever shrink towards stars, and no component is
@@ -48,7 +68,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     edges = stored(edges.mapInArrow(_forests, "a long, b long").distinct(), "links")
-    before = None
+    table, before = edges, None
     while True:
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -56,11 +76,15 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.where("b > a").join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
-        edges = stored(
+        shorter = stored(
             edges.join(low, "a").select(F.expr("inline(array(struct(b AS a, low AS b), struct(a AS a, low AS b)))"))
             .where("a <> b").distinct(), "links")
+        discard(table)
+        table = edges = shorter
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if tuple(state) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+            labels = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "labels")
+            discard(table)
+            return labels
         before = tuple(state)

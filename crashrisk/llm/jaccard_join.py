@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashrisk.llm import textarrays as ta
-from crashrisk.llm.components import components, stored
+from crashrisk.llm.components import components, discard, stored
 from crashrisk.llm.registry import query
 
 #: N-grams in more than this share of the texts (and in HOT_LEAST texts) are left out of segments; HOT_MOST bounds their list.
@@ -419,7 +419,8 @@ def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """(node, label) of all classes with a link, by comparing bucket mates whose labels differ."""
     words = [f"s{i}" for i in range(SKETCH)]
     sketches = sets.select("cid", "n", *words)
-    members = stored(members.join(sketches, "cid"), "members")
+    plain, members = members, stored(members.join(sketches, "cid"), "members")
+    discard(plain)
 
     def side(frame: DataFrame, name: str, *more: str) -> DataFrame:
         return frame.select(F.col("cid").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *words)), *more)
@@ -435,7 +436,7 @@ def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return both.mapInArrow(partial(_verified, num=num, den=den), "a long, b long, linked boolean")
 
-    labels, tested, links = None, None, None
+    labels, tested, links, compared = None, None, None, []
     for turn in range(PIVOT_ROUNDS + 1):
         now = members
         if labels is not None:
@@ -460,7 +461,10 @@ def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         found = stored(compare(pairs), "compared")
         tested = found if tested is None else tested.unionByName(found)
         links = tested.where("linked")
-        labels = stored(components(links), "labels")
+        old, labels = labels, components(links)
+        discard(now, old)
+        compared.append(found)
+    discard(members, sets, *compared)
     return labels
 
 
