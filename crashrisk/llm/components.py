@@ -16,16 +16,21 @@ from crashrisk.session import scratch_path
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again, which cuts the lineage; the shuffle files behind it go at once."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again, which cuts the lineage; the shuffle files behind it go at once.
+
+    With ``by`` each value of that column gets a folder of its own, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.select("*").write.parquet(path)  # planned anew, under the setting
+        writer = df.select("*").write  # planned anew, under the setting
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    table = spark.read.parquet(path)
+    # folders by value may be none at all, and then tell no columns
+    table = (spark.read.schema(df.schema) if by else spark.read).parquet(path)
     table.stored_at = path
     return table
 

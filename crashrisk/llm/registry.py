@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _MODULES = ["decontamination", "jaccard_join", "sentencepiece_scan", "token_files", "toxicity", "suffix_dedup", "quality_rules",
-            "html_paths", "license_digests", "quotation_links"]
+            "html_paths", "license_digests", "quotation_links", "fill_in_middle", "filter_audit", "pitman_yor"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
