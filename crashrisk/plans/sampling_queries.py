@@ -55,14 +55,10 @@ s AS (SELECT [{", ".join(f"coalesce(round(stddev_samp(x[{i + 1}]), 6), 0)" for i
 n AS (SELECT c, count(*) AS n, (SELECT max(k) FROM (SELECT count(*) AS k FROM x GROUP BY c)) - count(*) AS missing FROM x GROUP BY c),
 z AS (SELECT x.*, n, missing, list_transform({_AXES}, lambda i: CASE WHEN s[i] > 0 THEN x[i] / s[i] ELSE 0 END) AS z
       FROM x JOIN n USING (c), s WHERE missing > 0 AND n > 1),
-pl AS (SELECT *, unnest(range(1, 5)) AS p FROM z),
-ps AS (SELECT *, round(list_sum(list_transform({_AXES}, lambda i: z[i] * ({S.smote_directions(len(_FEATURES), 4)})[p][i])), 9) AS pos FROM pl),
-r AS (SELECT *, row_number() OVER (PARTITION BY c, p ORDER BY pos, h, id) AS r FROM ps),
-o AS (SELECT c, p, id, z, unnest(range(r - 10, r + 11)) AS r FROM r),
-pr AS (SELECT a.c, a.id, b.id AS other, any_value(b.x) AS y,
-              min(round(list_sum(list_transform({_AXES}, lambda i: (a.z[i] - b.z[i]) * (a.z[i] - b.z[i]))), 9)) AS d
-       FROM o a JOIN r b ON a.c = b.c AND a.p = b.p AND a.r = b.r AND a.id <> b.id GROUP BY a.c, a.id, b.id),
-nn AS (SELECT c, id, list(y ORDER BY d, other)[1:5] AS ys FROM pr GROUP BY c, id),
+pr AS (SELECT a.c, a.id, b.id AS other, b.x AS y, round({" + ".join(f"(a.z[{i}] - b.z[{i}]) * (a.z[{i}] - b.z[{i}])" for i in range(1, len(_FEATURES) + 1))}, 9) AS d
+       FROM z a JOIN z b ON a.c = b.c AND a.id <> b.id),
+nn AS (SELECT c, id, list(y ORDER BY d, other) AS ys
+       FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY c, id ORDER BY d, other) <= 5) GROUP BY c, id),
 cp AS (SELECT c, id, x, n, missing, missing // n + CASE WHEN row_number() OVER (PARTITION BY c ORDER BY h, id) <= missing % n THEN 1 ELSE 0 END AS copies FROM z),
 mk AS (SELECT c, x, ys[CAST(floor({_HASH.format("id || ':' || copy || ':nb'")} / CAST(16 AS DOUBLE) ** 13 * len(ys)) + 1 AS INTEGER)] AS y,
               {_HASH.format("id || ':' || copy || ':u'")} / CAST(16 AS DOUBLE) ** 13 AS u

@@ -21,6 +21,7 @@ from crashrisk.operators import ordering as O
 from crashrisk.operators import quantiles as Q
 from crashrisk.operators import routes as RT
 from crashrisk.operators import sampling as S
+from crashrisk.operators.neighbours import nearest_neighbours
 from crashrisk.plans import ingest as I
 from crashrisk.sources import schemas as SC
 
@@ -266,26 +267,58 @@ def test_smote_raises_minorities_and_stays_between_neighbours(spark):
     assert made["x"].between(6, 14).all() and out.where("NOT is_synthetic").count() == 340
 
 
-def test_smote_does_not_depend_on_its_blocks(spark):
+def test_smote_does_not_depend_on_its_cells(spark):
     rng = np.random.default_rng(3)
     rows = [(i, str(c), float(x), float(y), float(rng.integers(3))) for i, (c, x, y) in enumerate(zip(
         rng.choice(["a", "b", "c"], 900, p=[0.6, 0.3, 0.1]), rng.normal(0, 1, 900), rng.normal(0, 1, 900)))]
     rows += [(None, "b", 0.0, 0.0, 1.0), (2000, None, 0.0, 0.0, 1.0), (2001, "single", 0.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "id int, c string, x double, y double, n double")
-    out = [sorted(map(str, S.smote(df.repartition(p), "id", "c", ["x", "y", "n"], block_rows=b).collect())) for b, p in ((256, 3), (7, 5), (64, 1))]
-    assert out[0] == out[1] == out[2]
+    out = [sorted(map(str, S.smote(df.repartition(p), "id", "c", ["x", "y", "n"], leaf_points=b).collect())) for b, p in ((256, 3), (7, 5))]
+    assert out[0] == out[1]
     sizes = Counter(r["c"] for r in S.smote(df, "id", "c", ["x", "y", "n"]).collect())
     assert sizes["a"] == sizes["b"] == sizes["c"] and sizes["single"] == 1
 
 
-def test_smote_neighbours_are_nearly_the_nearest(spark):
+def _brute_neighbours(keys, points, k):
+    squared = np.zeros((len(points), len(points)))
+    for axis in points.T:
+        squared += (axis[:, None] - axis[None]) ** 2
+    squared = np.floor(squared * 1e9 + 0.5) / 1e9
+    np.fill_diagonal(squared, np.inf)
+    order = np.lexsort((np.broadcast_to(keys, squared.shape), squared), axis=1)[:, :k]
+    return {int(key): [int(keys[j]) for j in row if np.isfinite(squared[i, j])] for i, (key, row) in enumerate(zip(keys, order))}
+
+
+@pytest.mark.parametrize(("shape", "leaf", "probes"), [("plain", 64, 50), ("lattice", 16, 1024), ("copies", 32, 16), ("few", 64, 64)])
+def test_neighbours_are_the_nearest(spark, shape, leaf, probes):
     rng = np.random.default_rng(4)
-    points = rng.normal(0, 1, (2000, 2))
-    rows = [("a", i, i * 7919 % 2000, [float(v) for v in p]) for i, p in enumerate(points)]
-    df = spark.createDataFrame(rows, "c string, _id int, _h long, _x array<double>").withColumn("_z", F.col("_x"))
-    found = {r["_id"]: {n["_other"] for n in r["_nn"]} for r in S.near_neighbours(df, "c", 2, 5, 8, 60).collect()}
-    exact = np.argsort(((points[:, None] - points[None]) ** 2).sum(-1), axis=1)[:, 1:6]
-    assert np.mean([len(found[i] & set(exact[i].tolist())) / 5 for i in range(2000)]) >= 0.95
+    points = {"plain": rng.normal(0, 1, (1500, 3)), "lattice": rng.integers(0, 6, (1200, 4)).astype(float),
+              "copies": np.concatenate([np.zeros((300, 2)), rng.normal(0, 5, (400, 2)), np.full((5, 2), 3.0)]), "few": rng.normal(0, 1, (4, 2))}[shape]
+    keys = rng.permutation(len(points)) * 3
+    rows = [("a" if i % 5 else "b", int(key), [float(v) for v in p]) for i, (key, p) in enumerate(zip(keys, points))]
+    got = nearest_neighbours(spark.createDataFrame(rows + [(None, -1, [0.0] * points.shape[1])], "c string, id long, z array<double>"),
+                             "c", "id", "z", 5, leaf, probes)
+    found = {r["id"]: [n["other"] for n in r["neighbours"]] for r in got.collect()}
+    want = {}
+    for c in "ab":
+        at = [i for i, r in enumerate(rows) if r[0] == c]
+        want |= _brute_neighbours(keys[at], points[at], 5)
+    assert found == want
+
+
+def test_neighbours_of_the_feature_matrix(spark):
+    """5,000 rows of the scaled v2 matrix, where most features take few values, against all pairs."""
+    from crashrisk.operators import features as X
+    from crashrisk.plans import views as V
+    from crashrisk.plans.sampling_queries import _FEATURES
+    frame = X.build_features_v2(V.crashes(spark, "/root/testdata/sf0.01")).where("severity_class IS NOT NULL").orderBy("id").limit(5000).toPandas()
+    points = frame[_FEATURES].to_numpy(dtype=float)
+    spread = points.std(axis=0, ddof=1)
+    points = np.divide(points, spread, out=np.zeros_like(points), where=spread > 0)
+    keys = frame["id"].to_numpy()
+    rows = spark.createDataFrame([(0, int(k), [float(v) for v in p]) for k, p in zip(keys, points)], "c int, id long, z array<double>")
+    found = {r["id"]: [n["other"] for n in r["neighbours"]] for r in nearest_neighbours(rows, "c", "id", "z", 5).collect()}
+    assert found == _brute_neighbours(keys, points, 5)
 
 
 # --- plans -------------------------------------------------------------------------------
