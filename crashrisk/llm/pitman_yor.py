@@ -44,7 +44,7 @@ from crashrisk.llm.registry import query
 from crashrisk.llm.seating import reseat
 
 #: Tokens of a block (a longer text is a block of its own), and tokens whose pairs a bucket holds.
-BLOCK_TOKENS, BUCKET_TOKENS = 4 << 20, 2 << 20
+BLOCK_TOKENS, BUCKET_TOKENS = 5 << 19, 2 << 20
 #: A word with a larger share of the tokens than this has its pairs dealt over several buckets.
 HOT_SHARE = 1 / 1000
 
@@ -56,19 +56,24 @@ _END = np.uint64(0)
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Hashes as they are, counts in as few bytes each as the largest needs, floats in four; the first byte names the type."""
-    if a.dtype.kind == "f" or a.dtype == np.uint64:
-        code = "f" if a.dtype.kind == "f" else "Q"
+    """Hashes as they are; counts in as few bytes each as the largest needs and floats in four, compressed. The first byte names the type."""
+    if a.dtype == np.uint64:
+        return b"Q" + a.tobytes()
+    if a.dtype.kind == "f":
+        code = "f"
     else:
         most = int(a.max()) if len(a) else 0
-        code = "B" if most < 1 << 8 else "H" if most < 1 << 16 else "I" if most < 1 << 32 else "q"
-    return code.encode() + a.astype("<" + np.dtype(code).str[1:]).tobytes()
+        code = "B" if most < 1 << 8 else "H" if most < 1 << 16 else "i" if most < 1 << 31 else "q"
+    raw = a.astype(np.dtype(code).newbyteorder("<"))
+    return code.encode() + raw.nbytes.to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
     code = chr(blob[0])
-    a = np.frombuffer(blob, dtype="<" + np.dtype(code).str[1:], offset=1)
-    return a if code == "Q" else a.astype(np.float64 if code == "f" else np.int64)
+    if code == "Q":
+        return np.frombuffer(blob, dtype="<u8", offset=1)
+    raw = pa.decompress(memoryview(blob)[9:], int.from_bytes(blob[1:9], "little"), codec="zstd")
+    return np.frombuffer(raw, dtype=np.dtype(code).newbyteorder("<")).astype(np.float64 if code == "f" else np.int32 if code == "i" else np.int64)
 
 
 def _letters(rows: list[tuple]) -> pa.Table:
@@ -118,7 +123,7 @@ class _Block:
         self.n_words = np.bincount(tokens, weights=trains, minlength=n).astype(np.int64)
         before = np.empty_like(tokens)
         before[0], before[1:] = np.searchsorted(words, _END), tokens[:-1]  # what ends a text begins the next
-        pairs, self.pair_of = np.unique(tokens * n + before, return_inverse=True)
+        pairs, self.pair_of = np.unique(tokens * np.int64(n) + before, return_inverse=True)
         self.n_pairs = np.bincount(self.pair_of, weights=trains, minlength=len(pairs)).astype(np.int64)
         self.second, self.first = pairs // n, pairs % n
         self.home = _home(words, buckets)
@@ -157,6 +162,7 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_token
         held_rows.clear()
         size = 0
         words, tokens = np.unique(hashes, return_inverse=True)
+        del hashes
         counts = np.bincount(tokens)
         frequent = np.flatnonzero(counts >= len(tokens) * hot_share / 2)
         row = _letters([((part << 32) + seq, "block", 0, [words, tokens, lengths, held], [float(len(tokens))])]).to_batches()[0]
