@@ -44,7 +44,7 @@ from crashrisk.llm.registry import query
 from crashrisk.llm.seating import reseat
 
 #: Tokens of a block (a longer text is a block of its own), and tokens whose pairs a bucket holds.
-BLOCK_TOKENS, BUCKET_TOKENS = 5 << 19, 2 << 20
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 20, 2 << 20
 #: A word with a larger share of the tokens than this has its pairs dealt over several buckets.
 HOT_SHARE = 1 / 1000
 
