@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashrisk.session import materialise
+
 # Class order (decides ties) and the tuned thresholds of the first model.
 CLASSES = ["High", "Low", "Medium"]
 THRESHOLDS = {"High": 0.15, "Low": 0.25, "Medium": 0.40}
@@ -57,33 +59,30 @@ def summary_report(report: DataFrame, by: list[str] | None = None) -> DataFrame:
         (F.sum(F.col("f1") * F.col("support")) / total).alias("weighted_f1"), total.alias("rows"))
 
 
-def binary_roc_auc(df: DataFrame, score: Column, positive: Column, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+def binary_roc_auc(df: DataFrame, score: Column, positive: Column, by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half; null when one class is absent.
 
-    Rows are summed per distinct score first. Running counts are taken over score
-    buckets, then over finer buckets inside each, then over the scores inside those:
-    no window ever holds all scores, also when they crowd in a narrow range.
+    Rows are summed per distinct score first. The distinct scores are cut into ranges whose
+    borders come from their own distribution (Spark samples it for a range partitioning),
+    made durable, and counted on inside each range from the sums of the ranges below it. So
+    no window holds more than one range, wherever the scores lie and however near to each
+    other, and only one row per range and group is brought together.
     """
     by = by or []
     per_score = df.select(*by, score.alias("score"), positive.alias("positive")).groupBy(*by, "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    coarse = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("score") * buckets)))
-    fine = F.floor((F.col("score") * buckets - F.col("coarse")) * buckets)
-    per_score = per_score.withColumn("coarse", coarse).withColumn(
-        "fine", F.greatest(F.lit(0), F.least(F.lit(buckets - 1), fine)))
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialise(per_score.repartitionByRange(partitions, *by, "score").withColumn("range", F.spark_partition_id()))
 
     def before(part: list[str], order: str) -> Column:
         window = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("neg").over(window), F.lit(0))
 
-    fine_sums = per_score.groupBy(*by, "coarse", "fine").agg(F.sum("neg").alias("neg"))
-    coarse_sums = fine_sums.groupBy(*by, "coarse").agg(F.sum("neg").alias("neg"))
-    ranked = (
-        per_score.withColumn("below_3", before([*by, "coarse", "fine"], "score"))
-        .join(fine_sums.select(*by, "coarse", "fine", before([*by, "coarse"], "fine").alias("below_2")), [*by, "coarse", "fine"])
-        .join(coarse_sums.select(*by, "coarse", before(by, "coarse").alias("below_1")), [*by, "coarse"])
-    )
-    wins = F.sum(F.col("pos") * (F.col("below_1") + F.col("below_2") + F.col("below_3") + F.col("neg") / 2))
+    sums = ranges.groupBy(*by, "range").agg(F.sum("neg").alias("neg"))  # at most one row per range and group
+    group = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    below = sums.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("range").alias("_range"), before(by, "range").alias("below"))
+    ranked = ranges.withColumn("inside", before([*by, "range"], "score")).join(below, [*group, F.col("range") == F.col("_range")])
+    wins = F.sum(F.col("pos") * (F.col("below") + F.col("inside") + F.col("neg") / 2))
     return ranked.groupBy(*by).agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 

@@ -46,6 +46,39 @@ def test_exact_quantiles_equal_numpy(spark, values):
     assert len(got) == 5
 
 
+def test_quantiles_beside_an_outlier(spark):
+    """One value far out: the ranks are right, two scans are all, and only the bracket is ordered."""
+    rng = np.random.default_rng(7)
+    values = np.append(rng.normal(0, 1, 40_000).round(4), 1e15)
+    df = spark.createDataFrame([(float(v), i % 3) for i, v in enumerate(values)], "v double, g int")
+    out = Q.exact_quantiles(df, ["v"], [0.01, 0.5, 0.99, 1.0], by=["g"])
+    for r in out.collect():
+        assert math.isclose(r["value"], float(np.quantile(values[r["g"]::3], r["p"])), rel_tol=1e-12, abs_tol=1e-12)
+    # what reaches the window of a wanted rank, the row for all values below it included
+    kept = Q._values(df, ["v"], [])
+    summary = Q._summary(kept, ["column_name"])
+    probe = Q._locate(kept, ["column_name"], Q._targets([0.5]), summary)
+    point = float(np.quantile(values, 0.5, method="lower"))
+    near = np.sort(values)
+    at = int(np.searchsorted(near, point))
+    width = 5 * len(values) // Q._POINTS
+    row = summary.first()
+    place = at * Q._POINTS // len(values)
+    assert near[max(0, at - width)] <= row["points"][place - 1] and row["points"][place + 2] <= near[at + width]
+    assert {r["value"] for r in probe.collect()} == {point}
+
+
+def test_describe_reads_its_source_twice(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id AS double) AS a", "cast(id % 7 AS double) AS b").write.parquet(str(tmp_path / "t"))
+    out = Q.describe(spark.read.parquet(str(tmp_path / "t")), ["a", "b"])
+    assert {r["column_name"]: (r["n"], r["p50"], r["max"]) for r in out.collect()} == {"a": (1000, 499.5, 999.0), "b": (1000, 3.0, 6.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "Scan parquet" in line]
+    reused = [line for line in final.splitlines() if "ReusedExchange" in line or "ReusedSubquery" in line]
+    assert len(scans) <= 2, (len(scans), len(reused))
+
+
 def test_quantiles_of_an_empty_column_and_median_fill(spark):
     df = spark.createDataFrame([(1, None, 4.0), (2, None, None), (3, None, float("nan"))], "id int, a double, b double")
     assert Q.exact_quantiles(df, ["a"], [0.5]).count() == 0
@@ -177,12 +210,32 @@ def test_auc_of_one_class_is_null_and_ties_count_half(spark):
     assert one(E.binary_roc_auc(df, F.col("s"), F.col("y")))["roc_auc"] == 0.5
 
 
+@pytest.mark.parametrize(("scale", "shift"), [(1e-9, 0.5), (1e12, -3e11), (1e-300, 0.0)])
+def test_auc_of_scores_of_any_range(spark, scale, shift):
+    """Scores that crowd in a narrow range, or lie far outside [0, 1], spread over the ranges."""
+    rng = np.random.default_rng(8)
+    ranks = rng.integers(0, 3000, 4000)
+    labels = rng.random(4000) < 0.3 + ranks / 10_000
+    df = spark.createDataFrame([(float(r * scale + shift), bool(y), None if i % 4 == 0 else "m") for i, (r, y) in enumerate(zip(ranks, labels))],
+                               "s double, y boolean, m string")
+    scores = ranks * scale + shift
+
+    def area(of):
+        s, y = scores[of], labels[of]
+        better = (s[y][:, None] > s[~y][None]).sum() + (s[y][:, None] == s[~y][None]).sum() / 2
+        return better / (y.sum() * (~y).sum())
+
+    got = {r["m"]: r["roc_auc"] for r in E.binary_roc_auc(df, F.col("s"), F.col("y"), ["m"]).collect()}
+    every_fourth = np.arange(4000) % 4 == 0
+    assert math.isclose(got[None], area(every_fourth), rel_tol=1e-12) and math.isclose(got["m"], area(~every_fourth), rel_tol=1e-12)
+
+
 def test_auc_equals_pair_counting(spark):
     rng = np.random.default_rng(5)
     s, y = np.round(rng.random(400) * 1.4 - 0.2, 2), rng.random(400) < 0.3
     wins = (s[y][:, None] > s[~y][None, :]).mean() + 0.5 * (s[y][:, None] == s[~y][None, :]).mean()
     df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(s, y)], "s double, y boolean")
-    assert math.isclose(one(E.binary_roc_auc(df, F.col("s"), F.col("y"), buckets=16))["roc_auc"], wins, rel_tol=1e-12)
+    assert math.isclose(one(E.binary_roc_auc(df, F.col("s"), F.col("y"), partitions=7))["roc_auc"], wins, rel_tol=1e-12)
 
 
 def test_equal_probabilities_follow_class_order(spark):
