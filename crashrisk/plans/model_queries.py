@@ -132,6 +132,10 @@ def _(spark, d):
     return M.topic_terms(topics(spark, d)[1])
 
 
+#: The studied forests grow until leaves are pure; here they stop at this depth, which bounds a fit in the memory of a small driver.
+FOREST_DEPTH = 10
+
+
 def study(spark, d):
     """Numeric feature table with a class and a split, made durable for the fits."""
     matrix = X.build_features_v2(V.crashes(spark, d))
@@ -142,7 +146,7 @@ def study(spark, d):
 def _(spark, d):
     df, names = study(spark, d)
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
-    fits = {"logistic": {"iterations": 20}, "forest": {"trees": 20}, "boosted": {"trees": 5, "depth": 3}}
+    fits = {"logistic": {"iterations": 1000}, "forest": {"trees": 200, "depth": FOREST_DEPTH}, "boosted": {"rounds": 200}}
     scored = [M.score(M.fit_classifier(train, names, "severity_class", kind, **s), test).withColumn("model", F.lit(kind)) for kind, s in fits.items()]
     return M.compare_models(reduce(DataFrame.unionByName, scored), "severity_class")
 
@@ -163,9 +167,11 @@ def _(spark, d):
     names = [c for c in df.columns if c not in ("ID", "severity_class", "weather", "wind", "duration_min", "split")]
     train = materialise(S.downsample_majority(df.where("split = 'train'"), "ID", "severity_class", "2"))
     rows = []
-    for kind, settings in {"logistic": {"iterations": 20}, "forest": {"trees": 10, "depth": 8}}.items():
+    fits = {"logistic": {"iterations": 1000}, "forest": {"trees": 30, "depth": 15},
+            "boosted": {"rounds": 100, "depth": 6, "min_rows": 1, "min_hessian": 1.0, "penalty": 1.0}}
+    for kind, settings in fits.items():
         model = M.fit_classifier(train, names, "severity_class", kind, **settings)
-        labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
+        labels = F.array(*[F.lit(x) for x in M.class_labels(model)])
         for part in ("train", "validation"):
             data = (train if part == "train" else df.where("split = 'validation'"))
             rows.append(model.transform(data).select(
@@ -182,7 +188,7 @@ def _(spark, d):
     out = []
     for kind in ("linear", "forest"):
         clip = T.clip_upper(F.col("duration_min"), upper)
-        model = Pipeline(stages=[M.assemble(names), M.regressor(kind, "duration_min", trees=10, depth=8)]).fit(train.withColumn("duration_min", clip))
+        model = Pipeline(stages=[M.assemble(names), M.regressor(kind, "duration_min", trees=50, depth=20)]).fit(train.withColumn("duration_min", clip))
         out.append(model.transform(test.withColumn("duration_min", clip)).select(F.lit(kind).alias("model"), "duration_min", "prediction"))
     return E.regression_metrics(reduce(DataFrame.unionByName, out), "duration_min", "prediction", ["model"])
 
@@ -190,7 +196,7 @@ def _(spark, d):
 @query("ml11_binary_reframing")
 def _(spark, d):
     df, names = study(spark, d)
-    model = M.binary_classifier(df.where("split = 'train'"), names, "severity_class", trees=5, maxDepth=3)
+    model = M.binary_classifier(df.where("split = 'train'"), names, "severity_class")
     scored = materialise(M.score_binary(model, df.where("split = 'test'")))
     auc = E.binary_roc_auc(scored, F.col("p_elevated"), F.col("label") == "Elevated")
     report = E.class_report(scored)
@@ -201,7 +207,7 @@ def _(spark, d):
 @query("srt4_feature_importances")
 def _(spark, d):
     df, names = study(spark, d)
-    return M.feature_importances(M.fit_classifier(df, names, "severity_class", "forest", trees=20), names)
+    return M.feature_importances(M.fit_classifier(df, names, "severity_class", "forest", trees=200, depth=FOREST_DEPTH), names)
 
 
 _LIMITS = {"min_macro_f1_improvement": 0.005, "min_roc_auc": 0.70, "max_high_f1_regression": 0.01, "min_test_rows": 8000, "min_total_rows": 45000}
@@ -209,7 +215,7 @@ _CHAMPION = {"macro_f1": 0.4384, "roc_auc": 0.7416, "high_f1": 0.04}
 
 
 def retrained(spark, d):
-    return RE.retrain(V.crashes(spark, d), _CHAMPION, _LIMITS, "2026-04-21_06-00-00", kind="forest", trees=20)
+    return RE.retrain(V.crashes(spark, d), _CHAMPION, _LIMITS, "2026-04-21_06-00-00")
 
 
 @query("retrain_gates")
@@ -231,7 +237,7 @@ def _trip_inputs(spark, d):
     data = materialise(add_radius_features(reference, reference, leave_one_out=True))
     matrix, _keep = X.build_features_v4(data)
     names = X.feature_names(matrix)
-    model = M.fit_classifier(materialise(matrix), names, "severity_class", "forest", trees=20)
+    model = M.fit_classifier(materialise(matrix), names, "severity_class", "boosted", rounds=300)
     trips = V.table(spark, d, "orders").selectExpr(
         "o_orderkey AS trip_id", "o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 AS int)) AS departure",
         "element_at(array('Clear', 'Clouds', 'Rain', 'Squall'), cast(o_orderkey % 4 AS int) + 1) AS condition")

@@ -34,8 +34,8 @@ VARIANTS = {"boosted_balanced": None, "boosted_manual_weights": M.MANUAL_WEIGHTS
 
 
 def retrain(crashes: DataFrame, champion: dict[str, float], limits: dict[str, float], run_id: str, key: str = "id",
-            tune_on: str = "validation", kind: str = "boosted", **settings) -> dict[str, object]:
-    """Fit both variants, tune cuts, evaluate, and decide on promotion.
+            tune_on: str = "validation", rounds: int = 300, **settings) -> dict[str, object]:
+    """Fit both variants (in the same passes), tune cuts, evaluate, and decide on promotion.
 
     Tables in the answer: ``comparison`` (variants), ``thresholds``, ``report`` (classes),
     ``metrics`` (one row), ``gates`` and ``decision``; besides the best model, its
@@ -46,7 +46,7 @@ def retrain(crashes: DataFrame, champion: dict[str, float], limits: dict[str, fl
     data = materialise(matrix.join(enriched.select(key, "split"), key))
     features = feature_names(matrix, key)
     train, tune, test = data.where("split = 'train'"), data.where(F.col("split") == tune_on), data.where("split = 'test'")
-    fitted = {name: M.fit_classifier(train, features, "severity_class", kind, weights, **settings) for name, weights in VARIANTS.items()}
+    fitted = M.fit_variants(train, features, "severity_class", VARIANTS, rounds=rounds, **settings)
     scored = reduce(DataFrame.unionByName, [M.score(m, test).withColumn("model", F.lit(name)) for name, m in fitted.items()])
     comparison = materialise(M.compare_models(scored, "severity_class"))
     best = comparison.orderBy(F.desc("macro_f1"), "model").first()["model"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crashrisk.operators.aggregates import reload_check
+from crashrisk.operators.boosting import BoostedModel
 from crashrisk.sources.schemas import ANALYTICS_TABLES, conform
 
 _TEXT_AS_IS = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -64,7 +65,11 @@ def prediction_events(df: DataFrame) -> DataFrame:
 def save_artefacts(spark: SparkSession, root: str, run_ts: str, model, features: list[str],
                    thresholds: DataFrame, weather_keep: list[str], comparison: DataFrame) -> None:
     """Model and its small companion tables, keyed by run."""
-    model.write().overwrite().save(f"{root}/models/{run_ts}")
+    path = f"{root}/models/{run_ts}"
+    if isinstance(model, BoostedModel):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
     stamp = F.lit(run_ts).alias("run_ts")
     spark.createDataFrame(list(enumerate(features)), "position int, feature string").select(stamp, "*") \
         .write.mode("append").parquet(f"{root}/features")
