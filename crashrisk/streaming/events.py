@@ -31,12 +31,13 @@ def once_per_key(stream: DataFrame, key: str, time_column: str, delay: str) -> D
     return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark([key])
 
 
-def alerts_once(stream: DataFrame, time_column: str = "ts", delay: str = "8 days") -> DataFrame:
-    """One alert per week, merged file or retrain run; failures and new data always.
+def alerts_once(stream: DataFrame) -> DataFrame:
+    """One alert per week, merged file or retrain run, ever; failures and new data always.
 
-    An alert that is always sent gets its own id as the key, so one stateful pass
-    serves both kinds.
+    The state is the set of keys that were sent. It has no watermark, so a key is never
+    forgotten and no alert is too late; its size is the number of weeks, merged files and
+    runs. Alerts without a key pass by it, without state.
     """
-    key = F.coalesce(alert_key(F.col("kind"), F.col("ts"), F.col("merged_path"), F.col("run_ts")),
-                     F.concat(F.lit("always:"), F.col("event_id").cast("string")))
-    return once_per_key(stream.withColumn("alert_key", key), "alert_key", time_column, delay)
+    keyed = stream.withColumn("alert_key", alert_key(F.col("kind"), F.col("ts"), F.col("merged_path"), F.col("run_ts")))
+    once = keyed.where("alert_key IS NOT NULL").dropDuplicates(["alert_key"])
+    return once.unionByName(keyed.where("alert_key IS NULL"))

@@ -68,3 +68,33 @@ def test_stream_run_twice_adds_nothing_twice(spark, tmp_path):
         for _ in range(2):
             E.append_by_day(stream, "timestamp", out, mark).awaitTermination()
     assert sorted(r["prediction_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_alerts_are_sent_once_ever(spark, tmp_path):
+    """Late and repeated alerts over several micro-batches, weeks apart, and a restart in between: the keys of the batch rule."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from crashrisk.operators.ordering import alert_key, alerts_to_send
+    from crashrisk.streaming.events import alerts_once, append_by_day, read_event_stream
+    start = dt.datetime(2024, 3, 4, 12)
+    days = [0, 1, 40, 2, 300, 41, 0, 700, 1, 301, 5, 699]  # far apart, and back again
+    rows = [(i, ("no_new_data", "merge_complete", "retrain_complete", "failure")[i % 4], start + dt.timedelta(days=days[i % len(days)], hours=i % 5),
+             f"merged/{i % 3}" if i % 8 else "", f"run{i % 5}") for i in range(96)]
+    schema = "event_id long, kind string, ts timestamp, merged_path string, run_ts string"
+    batch = spark.createDataFrame(rows, schema)
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    for part in range(4):
+        batch.where(F.col("event_id") % 4 == (part * 3) % 4).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = read_event_stream(spark, str(tmp_path / "in"), batch.schema, "parquet", files_per_batch=1)
+        append_by_day(alerts_once(stream), "ts", out, mark).awaitTermination()
+    batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # all of them once more
+    stream = read_event_stream(spark, str(tmp_path / "in"), batch.schema, "parquet", files_per_batch=1)
+    append_by_day(alerts_once(stream), "ts", out, mark).awaitTermination()
+    key = alert_key(F.col("kind"), F.col("ts"), F.col("merged_path"), F.col("run_ts"))
+    sent = spark.read.parquet(out)
+    got = sorted(r["k"] for r in sent.select(key.alias("k")).where("k IS NOT NULL").collect())
+    want = sorted(r["k"] for r in alerts_to_send(batch).select(key.alias("k")).where("k IS NOT NULL").collect())
+    assert got == want
+    assert sent.where(key.isNull()).count() == 2 * batch.where(key.isNull()).count()
