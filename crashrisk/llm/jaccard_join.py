@@ -31,6 +31,7 @@ billion meet by chance with a likelihood of 3 %.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -49,6 +50,8 @@ HOT_SHARE, HOT_LEAST, HOT_MOST = 0.001, 32, 65_536
 DELETION_SEGMENTS = 8
 #: Values shown by a bucket's task at once, and classes of one task from which a value goes out as rows.
 BUCKET_VALUES, DIRECT_CLASSES = 1_000_000, 64
+#: Shown values that are put in their order of cost at once.
+RUN_VALUES = 250_000
 #: Rounds of comparison with pivots before the remaining pairs of different labels are compared.
 PIVOT_ROUNDS = 2
 #: 64-bit words of a set's parity sketch.
@@ -202,6 +205,18 @@ def _profiles(batches: Iterator[pa.RecordBatch], words: int, scheme: Scheme, hot
                                                   "codes1", "values1", "need"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of profiles in runs of about RUN_VALUES shown values; a set that shows more is a run of its own."""
+    for batch in batches:
+        sizes = sum(batch.column(f"codes{k}").value_lengths().to_numpy(zero_copy_only=False) for k in "01")
+        first, ends = 0, np.cumsum(sizes)
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + RUN_VALUES, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _packed(batches: Iterator[pa.RecordBatch], ranks: dict[int, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """The shown values each set needs, packed by bucket; the lowest bit of a value says that it is no neighbour."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -230,7 +245,7 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks: dict[int, np.ndarray], buc
                      pa.array([cid[p].tobytes() for p in parts], pa.binary())], names=["bucket", "values", "cids"])
         held.clear()
 
-    for batch in batches:
+    for batch in _runs(batches):
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         cid, need = (columns[c].to_numpy(zero_copy_only=False) for c in ("cid", "need"))
         for k in "01":
@@ -262,7 +277,7 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks: dict[int, np.ndarray], buc
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(value, cid, exact) of all values with two or more classes, one of them not as a neighbour."""
-    values, cids, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], ["value", "cid", "exact"]
+    held, names = defaultdict(list), ["value", "cid", "exact"]
 
     def rows(value: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array((value >> np.uint64(1)).view(np.int64)), pa.array(cid),
@@ -274,22 +289,19 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket < 0:
                 yield rows(value, cid)
             else:
-                values.append(value)
-                cids.append(cid)
-    value, cid = np.concatenate(values), np.concatenate(cids)
-    order = np.lexsort((cid, value))
-    value, cid = value[order], cid[order]
-    if len(value) < 2:
-        return
-    same = value[1:] >> np.uint64(1) == value[:-1] >> np.uint64(1)
-    group = np.cumsum(np.concatenate([[0], ~same]))
-    n = group[-1] + 1
-    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-    np.minimum.at(low, group, cid)
-    np.maximum.at(high, group, cid)
-    exact = np.bincount(group, weights=value & np.uint64(1)) > 0
-    keep = (low[group] < high[group]) & exact[group]
-    yield rows(value[keep], cid[keep])
+                held[bucket].append((value, cid))
+    # hashing puts several buckets into one task; each is sorted by itself
+    while held:
+        value, cid = (np.concatenate(x) for x in zip(*held.popitem()[1]))
+        order = np.lexsort((cid, value))
+        value, cid = value[order], cid[order]
+        starts = np.flatnonzero(np.concatenate([[True], value[1:] >> np.uint64(1) != value[:-1] >> np.uint64(1)]))
+        sizes = np.diff(np.append(starts, len(value)))
+        several = np.minimum.reduceat(cid, starts) < np.maximum.reduceat(cid, starts)
+        exact = np.maximum.reduceat(value & np.uint64(1), starts) > 0
+        keep = np.repeat(several & exact, sizes)
+        yield rows(value[keep], cid[keep])
+    ta.give_back()
 
 
 def _parities(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -318,8 +330,8 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(batch.column(side)[i].as_buffer(), np.uint64) for side in (2, 3))
             shared = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
             linked.append(den * shared >= num * (len(a) + len(b) - shared))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
