@@ -23,11 +23,12 @@ number of bits before its own. Looking a key up costs a few probes, whatever the
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,10 @@ from crashrisk.session import scratch_path
 
 #: Ids of a shard (a longer document is a shard of its own), and bytes of text a task tokenises.
 SHARD_IDS, TASK_BYTES = 1 << 21, 64 << 20
-#: Words whose ids a worker remembers.
-MOST_WORDS = 1_000_000
+#: Pieces of words whose ids a worker remembers (some 50 bytes each).
+MOST_WORDS = 2_000_000
+#: The rule of a vocabulary file by which marks round a word are tokens of their own, a fixed value of its format.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bits per key in each level of the hash.
 GAMMA = 2.0
 
@@ -52,7 +55,13 @@ _COLUMNS = ("part int, seq int, n_docs long, n_ids long, n_null long, first_key
 
 
 class Words:
-    """Ids of texts, word by word: no token spans white space, so each distinct word is encoded once."""
+    """Ids of texts, piece by piece: no token spans white space, so each distinct piece is encoded once.
+
+    A piece is a word. Where the vocabulary file lowers letters, words in ASCII are lowered
+    first; where it parts letters and digits from marks by WORD_PATTERN, the marks round a
+    word are pieces of their own. Pieces are told by 64-bit hashes: two out of a million
+    meet by chance with a likelihood of 3e-8.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,43 +69,88 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        rules = json.loads(self.tokenizer.to_str())
+        normalizer, splitter = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+        kinds = [n["type"] for n in normalizer.get("normalizers", [normalizer]) if n]
+        split = next(iter(splitter.get("pretokenizers", [splitter])), {})
+        # bytes of the vocabulary's own tokens, which are looked for before all rules, are left as they are
+        fixed = np.zeros(256, dtype=bool)
+        fixed[list({byte for t in rules["added_tokens"] for byte in t["content"].encode() if not chr(byte).isalnum()})] = True
+        by_marks = all(any(not c.isalnum() for c in t["content"]) for t in rules["added_tokens"])
+        self.lowers = "Lowercase" in kinds and by_marks
+        self.kept = fixed | (np.arange(256) >= 128)  # bytes of words that are not lowered
+        self.letters = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+        self.marks = np.array([32 < i < 127 and i != 39 and not chr(i).isalnum() for i in range(256)]) & ~fixed
+        if not by_marks or (split.get("pattern") or {}).get("Regex") != WORD_PATTERN:
+            self.marks[:] = False
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.hashes, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # in order of the hashes
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)  # ends[n] is where word n's ids end, ends[-1 + 1] = 0 before it
-
-    def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            n = len(self.number)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ends = (self.ends[n] if n else 0) + np.cumsum(sizes)
-            while n + len(part) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            while ends[-1] > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[ends[0] - sizes[0]:ends[-1]] = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            self.ends[n + 1:n + 1 + len(part)] = ends
-            self.number.update(zip(part, range(n, n + len(part))))
+        self.ends = np.zeros(1 << 16, dtype=np.int64)  # ids of piece n stand from ends[n] to ends[n + 1] in the pool
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pieces; ``hashes`` are theirs, in ascending order."""
+        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+        found = [e.ids for e in encoded]
+        n = len(self.number)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ends = self.ends[n] + np.cumsum(sizes)
+        while n + len(pieces) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while ends[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.ends[n]:ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.ends[n + 1:n + 1 + len(pieces)] = ends
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.number = np.insert(self.number, place, np.arange(n, n + len(pieces)))
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, or -1 where it is new."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.number[place], -1)
+
+    def _pieces(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the bytes, lowered where that changes no id; first byte of each piece and the byte after its last)."""
+        if self.lowers:
+            before = np.concatenate([[0], np.cumsum(self.kept[data])])
+            as_is = before[end] > before[first]
+            edge = np.zeros(len(data) + 1, dtype=np.int8)
+            edge[first[as_is]] += 1
+            edge[end[as_is]] -= 1
+            data = np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, data, ta.lower_ascii(data))
+        if not self.marks.any() or not len(first):
+            return data, first, end
+        others = np.flatnonzero(~self.marks[data])
+        low = others[np.searchsorted(others, first)]
+        high = others[np.maximum(np.searchsorted(others, end) - 1, 0)] + 1
+        inner = low < end
+        inner[inner] = self.letters[data[low[inner]]] & self.letters[data[high[inner] - 1]]
+        low, high = np.where(inner, low, first), np.where(inner, high, end)
+        begins, ends = np.stack([first, low, high], 1).ravel(), np.stack([low, high, end], 1).ravel()
+        filled = ends > begins
+        return data, begins[filled], ends[filled]
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, each text closed by ``end_id``; where each text begins, one more at the end)."""
-        words = [t.split() for t in texts]  # splits at the bytes 9 to 13 and 32
-        flat = [w for text in words for w in text]
-        if len(self.number) > MOST_WORDS:
+        data, starts = ta.joined(texts)
+        data, first, end = self._pieces(data, *ta.word_bounds(data))
+        kinds, at, of = np.unique(ta.range_hashes(ta.prefix_sums(data), first, end), return_index=True, return_inverse=True)
+        if len(self.hashes) > MOST_WORDS:
             self.clear()
-        of = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(of < 0)
+        number = self._find(kinds)
+        new = np.flatnonzero(number < 0)
         if len(new):
-            self.learn(list({flat[i] for i in new}))
-            of[new] = [self.number[flat[i]] for i in new]
+            self.learn(kinds[new], [data[first[i]:end[i]].tobytes() for i in at[new]])
+            number = self._find(kinds)
+        of = number[of]
         begin, size = self.ends[of], self.ends[of + 1] - self.ends[of]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
         word_ends = np.concatenate([[0], np.cumsum(size)])
-        bounds = word_ends[np.concatenate([[0], np.cumsum(counts)])] + np.arange(len(texts) + 1)
+        bounds = word_ends[ta.owner_bounds(first, starts)] + np.arange(len(texts) + 1)
         out = np.full(bounds[-1], end_id, dtype=np.uint32)
         inside = np.ones(len(out), dtype=bool)
         inside[bounds[1:] - 1] = False

@@ -58,3 +58,18 @@ def test_perfect_hash():
         assert sorted(index.find(keys)) == list(range(len(keys)))
         others = np.setdiff1d(rng.integers(-(2**62), 2**62, 20_000), keys)
         assert (index.find(others) >= 0).sum() <= 1
+
+
+def test_words_in_pieces_get_the_ids_of_whole_texts(tokenizer):
+    rng = np.random.default_rng(11)
+    parts = ["a", "Z", "the", "İ", "ß", "Σ", "é", "é", "H̱", "̸", "'", "'s", "'LL", "don't", "<|endoftext|>", "<|", "|>",
+             "<|ENDOFTEXT|>", "endoftext", ".", ",,", "…", "#", "&&", "0", "42", "½", " ", "​", "漢字", "🙂", "\x00", "\x1c", "_", "-"]
+    gaps = ["", "", "", " ", "\n", "\t ", "\x0b"]
+    texts = ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.integers(1, 12))) for _ in range(4_000)]
+    texts += [a + b for a in parts for b in parts] + ["", " ", "." * 5_000, "x" + "!" * 5_000]
+    words = token_files.Words(vocabulary_file())
+    for begin in range(0, len(texts), 500):
+        part = texts[begin:begin + 500]
+        ids, bounds = words.encode([t.encode() for t in part], 1)
+        for i, text in enumerate(part):
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == ids_of(tokenizer, text), repr(text)
