@@ -43,15 +43,20 @@ CLOSES = ({t: frozenset(["p"]) for t in "address article aside blockquote center
              "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
              "option": frozenset(["option"])})
 STOPS = frozenset("table ul ol dl td th body html article section div main button".split())
-#: Words in a class, id or role that say an element is not the article.
-_OUTSIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navigation|navbar|menu\w*|breadcrumbs?|footer|"
-    r"header|masthead|sidebar|side|complementary|contentinfo|search|notice|cookies?|consent|gdpr|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|widget|"
-    r"pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])", re.IGNORECASE)
+#: Words in a class, id or role that say an element is not the article, wherever they stand between hyphens or underscores,
+#: unless a word of NEGATED stands before.
+OUTSIDE_WORDS = frozenset(
+    "ad ads adsense banner nav navigation navbar breadcrumb breadcrumbs footer header masthead sidebar complementary contentinfo "
+    "search notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login comment comments disqus "
+    "replies respond share sharing social widget pagination pager toolbar skip hidden".split())
+OUTSIDE_STEMS = ("advert", "sponsor", "promo", "menu", "recommend")
+#: Words that say so as the whole name, or with nothing but words of their own beside them.
+OUTSIDE_PAIRS = {"side": frozenset("bar box col column content left menu nav panel right".split()),
+                 "related": frozenset("articles box content items links news pages posts reading stories topics".split())}
+NEGATED = frozenset("no non not has have with without hide".split())
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:"[^"<]*"|'[^'<]*'|[^><])*+)>""", re.DOTALL)
-_MARKS = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…،。，、！？；：]")
 #: Share of the greatest path score that a path needs at most, and standard deviations of the node scores it needs otherwise.
 MOST_SHARE, DEVIATIONS = 0.5, 1.0
@@ -64,6 +69,20 @@ TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
 ARTICLE_WEIGHT = 4.0
 
 
+def says_outside(value: str) -> bool:
+    """Does a class, id or role say that its element is not the article?"""
+    for name in value.lower().split():
+        parts = re.split("[-_]+", name)
+        for i, part in enumerate(parts):
+            if i and parts[i - 1] in NEGATED:
+                continue
+            if part in OUTSIDE_WORDS or part.startswith(OUTSIDE_STEMS):
+                return True
+            if part in OUTSIDE_PAIRS and all(p in OUTSIDE_PAIRS[part] for p in parts[:i] + parts[i + 1:]):
+                return True
+    return False
+
+
 class _Element:
     __slots__ = ("tag", "path", "parent", "outside", "article", "link", "depth")
 
@@ -75,11 +94,12 @@ class _Element:
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.outside = tag in OUTSIDE or bool(parent and parent.outside)
         if attributes and not self.outside:
-            for name, value in _MARKS.findall(attributes):
+            for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name == "role" and value.lower() == "main" or name == "itemprop" and value.lower() == "articlebody":
                     self.article = True
-                elif name == "hidden" or tag not in ("html", "body", "article", "main") and _OUTSIDE_WORDS.search(value):
+                elif (name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id", "role")
+                      and tag not in ("html", "body", "article", "main") and says_outside(value)):
                     # a head inside the article is the article's own
                     self.outside |= not (self.article and _HEADER.search(value))
         if tag == "header" and not self.article:

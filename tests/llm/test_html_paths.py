@@ -70,3 +70,17 @@ def test_edges(spark):
     got = sorted((str(r["page_id"]), r["n_chars"]) for r in extract_main_text(frame).collect())
     assert got == sorted([("1", 0), ("1", 0), ("None", 9), ("2", 549_999)])
     assert extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_attributes_say_what_they_say():
+    text = "A long sentence of the article, with marks; and more of it, as articles have."
+    for mark in ('class="content no-sidebar"', 'aria-hidden="false"', 'title="a hidden place"', 'data-role="menu"', 'class="side-by-side"',
+                 'data-hidden', 'class="related-work"', 'class="page has-sidebar with_banner"', "title='class=\"menu\"'", 'class="adapted shared"',
+                 'class="aside-note wayside"', 'id="searching"'):
+        for page in (f"<body><div {mark}><p>{text}</p><p>{text}</p></div></body>", f"<article><p>{text}</p><div {mark}><p>{text}</p></div></article>",
+                     f"<article><p {mark}>{text}</p><p>{text}</p></article>"):
+            assert main_text(page) == [text, text], (mark, page)
+    for mark in ('class="sidebar"', 'class="box left-sidebar"', 'id=top_nav', "class='side'", 'class="side-bar"', 'class="related"', 'class="related-posts"',
+                 'hidden', 'aria-hidden="true"', 'role="navigation"', 'class="advertisement"', 'CLASS="Cookie-Notice"', 'id="comments"'):
+        page = f"<article><p>{text}</p><div {mark}><p>{text} No.</p></div><p>{text}</p></article>"
+        assert main_text(page) == [text, text], mark
