@@ -97,6 +97,29 @@ def feedback_rates(predictions: DataFrame, feedback: DataFrame, accepted: str =
     )
 
 
+def explanation_coverage(predictions: DataFrame, explanations: DataFrame) -> DataFrame:
+    """How the predictions of each class were explained.
+
+    A prediction is explained if one of its explanations succeeded; one whose explanation
+    names another class than it has counts as mismatched. The mean latency is that of
+    successful explanations, null if there are none. Explanations without a prediction are not counted.
+    """
+    per_prediction = explanations.groupBy("prediction_id", "risk_class_explained").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_ok"),
+        F.sum(F.when(F.col("success"), F.col("latency_ms"))).alias("latency")).groupBy("prediction_id").agg(
+        F.sum("n").alias("n"), F.sum("n_ok").alias("n_ok"), F.sum("latency").alias("latency"),
+        F.collect_set("risk_class_explained").alias("named"))
+    return (
+        predictions.join(per_prediction, "prediction_id", "left")
+        .groupBy("risk_class")
+        .agg(F.count(F.lit(1)).alias("predictions"), F.count_if(F.col("n_ok") > 0).alias("explained"),
+             F.coalesce(F.sum("n"), F.lit(0)).alias("attempts"), F.coalesce(F.sum(F.col("n") - F.col("n_ok")), F.lit(0)).alias("failed"),
+             F.count_if(F.exists("named", lambda c: c != F.col("risk_class"))).alias("mismatched"),
+             (F.sum("latency") / F.sum(F.when(F.col("n_ok") > 0, F.col("n_ok")))).alias("mean_latency_ms"))
+        .withColumn("explained_rate", F.col("explained") / F.col("predictions"))
+    )
+
+
 def manifest_paths(runs: DataFrame) -> DataFrame:
     """Distinct result paths of all runs, each with the run it was first seen in.
 

@@ -49,7 +49,17 @@ def _(spark, d):
 def _(spark, d):
     pages = V.table(spark, d, "customer").groupBy(F.expr("c_custkey div 100").alias("page")).agg(F.to_json(F.struct(
         F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("data"))).alias("value"))
-    return R.explode_data_pages(pages, "value", "id: bigint, name: string").select("id", "name")
+    return R.explode_data_pages(pages, "value", "id: bigint, name: string")[0].select("id", "name")
+
+
+@query("src4_rejected_pages", """
+SELECT DISTINCT c_custkey // 100 AS page, 'unreadable page' AS reason FROM customer WHERE (c_custkey // 100) % 5 = 2""")
+def _(spark, d):
+    pages = V.table(spark, d, "customer").groupBy(F.expr("c_custkey div 100").alias("page")).agg(F.to_json(F.struct(
+        F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("data"))).alias("value"))
+    # downloads that broke off, and pages that hold a message instead of data
+    pages = pages.withColumn("value", F.expr("CASE WHEN page % 10 = 2 THEN left(value, 20) WHEN page % 5 = 2 THEN '{\"message\":\"gone\"}' ELSE value END"))
+    return R.explode_data_pages(pages, "value", "id: bigint, name: string")[1]
 
 
 @query("ingest_transform", f"""
@@ -207,6 +217,25 @@ def _(spark, d):
     return J.feedback_rates(predictions, feedback, accepted="A").withColumn("feedback_rate", F.round("feedback_rate", 6))
 
 
+@query("jn8_explanation_coverage", """
+WITH p AS (SELECT o_orderkey AS prediction_id, o_orderpriority AS risk_class FROM orders),
+e AS (SELECT l_orderkey AS prediction_id, l_returnflag <> 'R' AS ok, l_suppkey AS latency,
+  CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '1-URGENT' ELSE '5-LOW' END AS named FROM lineitem WHERE l_linenumber < 4 AND l_suppkey % 2 = 0),
+x AS (SELECT prediction_id, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok, sum(latency) FILTER (WHERE ok) AS latency FROM e GROUP BY 1)
+SELECT risk_class, count(*) AS predictions, count(*) FILTER (WHERE n_ok > 0) AS explained, CAST(coalesce(sum(n), 0) AS BIGINT) AS attempts,
+  CAST(coalesce(sum(n - n_ok), 0) AS BIGINT) AS failed,
+  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e WHERE e.prediction_id = p.prediction_id AND e.named <> p.risk_class)) AS mismatched,
+  round(sum(latency) / sum(n_ok), 6) AS mean_latency_ms, round(count(*) FILTER (WHERE n_ok > 0) / count(*), 6) AS explained_rate
+FROM p LEFT JOIN x USING (prediction_id) GROUP BY 1""")
+def _(spark, d):
+    predictions = V.table(spark, d, "orders").selectExpr("o_orderkey AS prediction_id", "o_orderpriority AS risk_class")
+    explanations = V.table(spark, d, "lineitem").where("l_linenumber < 4 AND l_suppkey % 2 = 0").selectExpr(
+        "l_orderkey AS prediction_id", "l_returnflag <> 'R' AS success", "l_suppkey AS latency_ms",
+        "CASE l_linenumber % 3 WHEN 1 THEN '1-URGENT' WHEN 2 THEN '5-LOW' END AS risk_class_explained")
+    return J.explanation_coverage(predictions, explanations).withColumns(
+        {c: F.round(c, 6) for c in ("mean_latency_ms", "explained_rate")})
+
+
 @query("jn9_manifest_walk", """
 WITH r AS (SELECT 'run' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS run_ts, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS status,
   'p/' || o_orderpriority || '/' || CAST(o_orderdate AS DATE) AS path FROM orders WHERE o_orderstatus <> 'P')

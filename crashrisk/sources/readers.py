@@ -54,11 +54,15 @@ def read_feature_pages(spark: SparkSession, path: str, attributes: str) -> tuple
     return explode_feature_pages(pages, "value", attributes)
 
 
-def explode_data_pages(pages: DataFrame, text: str, record: str) -> DataFrame:
-    """Landed ``{data: [...]}`` pages -> one row per record."""
+def explode_data_pages(pages: DataFrame, text: str, record: str) -> tuple[DataFrame, DataFrame]:
+    """Landed ``{data: [...]}`` pages -> one row per record, and the pages without readable data.
+
+    An empty list is a page without records; a null or broken text, or one without ``data``, is rejected.
+    """
     others = [c for c in pages.columns if c != text]
-    return (pages.select(*others, F.explode(F.from_json(text, f"data array<struct<{record}>>")["data"]).alias("_r"))
-            .select(*others, "_r.*"))
+    parsed = pages.select(*others, F.from_json(text, f"data array<struct<{record}>>")["data"].alias("_data"))
+    rejects = parsed.where("_data IS NULL").select(*others, F.lit("unreadable page").alias("reason"))
+    return parsed.select(*others, F.explode("_data").alias("_r")).select(*others, "_r.*"), rejects
 
 
 RUN_LOG = layout("run_timestamp STRING, outcome STRING, dry_run BOOLEAN, merged_rows STRING, merged_gcs_path STRING").add(
