@@ -251,6 +251,16 @@ def _(spark, d):
         F.round("distance_miles", 6).alias("distance_miles"), "base_speed_mph", F.size("intervals").alias("n_intervals"))
 
 
+@query("fn24_rejected_routes", """
+SELECT o_orderkey AS trip_id, CASE o_orderkey % 10 WHEN 0 THEN 'no payload' WHEN 1 THEN 'unreadable payload' ELSE 'no routes' END AS reason
+FROM orders WHERE o_orderkey % 10 < 3""")
+def _(spark, d):
+    # a trip in ten has no answer, a broken one, or one without routes
+    payload = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("trip_id"), F.expr(_ROUTE_JSON).alias("payload")).withColumn(
+        "payload", F.expr("CASE trip_id % 10 WHEN 0 THEN NULL WHEN 1 THEN left(payload, 25) WHEN 2 THEN '{\"routes\":[]}' ELSE payload END"))
+    return R.rejected_routes(payload, "payload")
+
+
 @query("fn25_polyline_points")
 def _(spark, d):
     text = F.expr("concat(repeat('_p~iF~ps|U', 1), repeat('_ulLnnqC', cast(o_orderkey % 4 AS int)), repeat('_mqNvxq`@', 1))")

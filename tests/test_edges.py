@@ -23,6 +23,7 @@ from crashrisk.operators import routes as RT
 from crashrisk.operators import sampling as S
 from crashrisk.operators.neighbours import nearest_neighbours
 from crashrisk.plans import ingest as I
+from crashrisk.sources import readers as RD
 from crashrisk.sources import schemas as SC
 
 
@@ -388,3 +389,27 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = entry.queries()["src1_parquet_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "EqualTo(o_orderstatus,F)" in plan and "o_custkey" not in plan
+
+
+def test_explanations_of_predictions_with_none_and_several(spark):
+    predictions = spark.createDataFrame([(1, "high"), (2, "high"), (3, "low"), (4, None)], "prediction_id long, risk_class string")
+    explanations = spark.createDataFrame(
+        [(1, True, 10, "high"), (1, True, 30, "low"), (1, False, 99, None), (2, False, 5, "high"), (9, True, 1, "low"), (None, True, 1, "low")],
+        "prediction_id long, success boolean, latency_ms long, risk_class_explained string")
+    got = {r["risk_class"]: r for r in J.explanation_coverage(predictions, explanations).collect()}
+    assert set(got) == {"high", "low", None}
+    high = got["high"]
+    assert (high["predictions"], high["explained"], high["attempts"], high["failed"], high["mismatched"]) == (2, 1, 4, 2, 1)
+    assert high["mean_latency_ms"] == 20.0 and high["explained_rate"] == 0.5
+    assert (got["low"]["attempts"], got["low"]["explained"], got["low"]["mean_latency_ms"]) == (0, 0, None)
+
+
+def test_pages_and_payloads_without_content_are_named(spark):
+    pages = spark.createDataFrame([(1, '{"data":[{"id":1},{"id":2}]}'), (2, '{"data":[]}'), (3, '{"dat'), (4, None), (5, "{}")], "page int, value string")
+    rows, rejects = RD.explode_data_pages(pages, "value", "id: bigint")
+    assert sorted(map(tuple, rows.collect())) == [(1, 1), (1, 2)]
+    assert sorted(r["page"] for r in rejects.collect()) == [3, 4, 5]
+    trips = spark.createDataFrame([(1, '{"routes":[{"duration":"5s"}]}'), (2, '{"routes":[]}'), (3, "{oops"), (4, None), (5, " ")], "trip int, value string")
+    assert [r["trip"] for r in R.parse_routes(trips, "value").collect()] == [1]
+    assert dict(map(tuple, R.rejected_routes(trips, "value").collect())) == {
+        2: "no routes", 3: "unreadable payload", 4: "no payload", 5: "no payload"}
