@@ -6,6 +6,7 @@ from crashrisk.functions import calendar as C
 from crashrisk.functions import cleaning as T
 from crashrisk.functions import roads as R
 from crashrisk.operators import quantiles as Q
+from crashrisk.operators.joins import by_shuffle
 from crashrisk.plans import views as V
 from crashrisk.plans.catalog import query
 
@@ -99,7 +100,7 @@ SELECT trip_id, route_index, interval_pos, base, CASE category WHEN 'SLOW' THEN
   WHEN distance_miles < 10 THEN 35.0e0 ELSE 55.0e0 END AS base FROM routes) JOIN speed_intervals USING (trip_id, route_index)"""))
 def _(spark, d):
     base = V.routes(spark, d).select("trip_id", "route_index", R.speed_by_distance(F.col("distance_miles")).alias("base"))
-    return V.speed_intervals(spark, d).join(base, ["trip_id", "route_index"]).select(
+    return V.speed_intervals(spark, d).join(by_shuffle(base), ["trip_id", "route_index"]).select(
         "trip_id", "route_index", "interval_pos", "base", R.speed_by_traffic(F.col("category"), F.col("base")).alias("speed"))
 
 

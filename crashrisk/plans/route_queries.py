@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crashrisk.operators import routes as R
+from crashrisk.operators.joins import by_shuffle
 from crashrisk.plans import views as V
 from crashrisk.plans.catalog import query
 
@@ -10,7 +11,7 @@ from crashrisk.plans.catalog import query
 def segments(spark, d):
     """Sampled points of all routes with fixed class probabilities."""
     routes = V.routes(spark, d)
-    return R.sample_points(V.route_points(spark, d), routes, 12).join(routes, R.ROUTE).selectExpr(
+    return R.sample_points(V.route_points(spark, d), routes, 12).join(by_shuffle(routes), R.ROUTE).selectExpr(
         "*", "((trip_id * 37 + point_index * 11 + route_index) % 50) / 100.0D AS p_high",
         "((trip_id * 53 + point_index * 7) % 50) / 100.0D AS p_low",
         "CASE WHEN (trip_id + point_index * 3 + route_index * 5) % 17 = 0 THEN 'High'"
@@ -108,7 +109,7 @@ def _(spark, d):
         F.struct("segment", "risk_class", F.concat(F.lit("Point "), F.col("point_index")).alias("label")))).alias("hotspots"))
     best = R.safest_routes(R.roll_up_routes(segments(spark, d)))
     facts = V.table(spark, d, "orders").selectExpr("o_orderkey AS trip_id", *_FACTS)
-    trips = best.join(spots, ["trip_id", "route_index"], "left").join(facts, "trip_id").withColumns({
+    trips = best.join(by_shuffle(spots), ["trip_id", "route_index"], "left").join(by_shuffle(facts), "trip_id").withColumns({
         "risk_class": F.col("overall_risk_class"), "confidence": F.col("overall_confidence") + 1e-6,
         **{c: F.col(c) + 1e-6 for c in ("p_high", "p_medium", "p_low")},  # off the halves, which engines round either way
         "hotspots": F.coalesce("hotspots", F.array().cast("array<struct<segment:int,risk_class:string,label:string>>"))})

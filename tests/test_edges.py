@@ -377,6 +377,17 @@ def test_neighbours_of_the_feature_matrix(spark):
 
 # --- plans -------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("name", ["fn27_safety_score", "fn28_recommendation", "fn29_explanation_context", "win3_segment_placement", "win4_safest_route",
+                                  "agg18_route_roll_up", "jn5_interval_to_point", "fn9_fn10_speeds"])
+def test_points_of_routes_are_never_broadcast(spark, sf_dir, name):
+    # exploded rows are guessed as small as the rows they come from
+    import __spark_entry__ as entry
+    df = entry.queries()[name](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_no_cross_joins_or_global_windows_in_core_plans(spark, sf_dir):
     import __spark_entry__ as entry
     for name in ("agg16_binary_roc_auc", "smp1_stratified_split", "jn5_interval_to_point", "jn4_radius_held_out", "win1_candidate_wins"):
