@@ -4,6 +4,8 @@ A mergeable summary of each column, made by one scan, gives a bracket of values
 every wanted rank, however the values are spread. A second scan counts what lies below a
 bracket and keeps, as (value, count), only what lies inside, a few thousandths of the
 rows; only those are ever ordered. Nothing else is read, so both scans are the whole cost.
+Brackets of whole columns are looked up in a map, so values stay in the tasks that read
+them; those of groups are joined in ``_SHARDS`` shards of each group.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Points of a summary, and its accuracy: a point is at most 1 / _ACCURACY of the rows off its place.
 _POINTS, _ACCURACY = 500, 5000
+#: Tasks that the values of one group are dealt out to.
+_SHARDS = 64
 
 
 def _values(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -44,7 +48,13 @@ def _locate(values: DataFrame, keys: list[str], targets: Column, summary: DataFr
         F.when(place(t) > _POINTS - 3, F.col("high")).otherwise(F.get("points", (place(t) + 2).cast("int"))).alias("most"))
     brackets = summary.withColumn("targets", targets).select(*keys, F.transform("targets", bracket).alias("brackets"))
     # a value below a bracket only counts, one above it is not passed on
-    met = values.join(brackets, keys).select(*keys, "value", F.explode(
+    if keys == ["column_name"]:  # one entry per column asked for
+        found = brackets.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "brackets")))).scalar()
+        beside = values.withColumn("_found", found).withColumn("brackets", F.try_element_at("_found", "column_name")).drop("_found")
+    else:
+        dealt = brackets.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(_SHARDS - 1))))
+        beside = values.withColumn("_shard", F.pmod(F.hash("value"), F.lit(_SHARDS))).join(dealt, [*keys, "_shard"])
+    met = beside.select(*keys, "value", F.explode(
         F.filter("brackets", lambda b: F.col("value") <= b["most"])).alias("b"))
     spots = met.groupBy(*keys, F.col("b.i").alias("i"), F.col("b.target").alias("target"),
                         F.when(F.col("value") >= F.col("b.least"), F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))

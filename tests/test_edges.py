@@ -69,6 +69,17 @@ def test_quantiles_beside_an_outlier(spark):
     assert {r["value"] for r in probe.collect()} == {point}
 
 
+def test_no_task_gets_all_values_of_a_column(spark):
+    df = spark.range(20000).selectExpr("cast(id * 7 % 20011 AS double) AS v", "'one' AS g")
+    values = np.array(sorted(i * 7 % 20011 for i in range(20000)), dtype=float)
+    for by in ([], ["g"]):
+        out = Q.exact_quantiles(df, ["v"], [0.5], by=by)
+        assert out.first()["value"] == float(np.quantile(values, 0.5))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert all("_shard" in line for line in joins) and bool(joins) == bool(by)
+
+
 def test_describe_reads_its_source_twice(spark, tmp_path):
     spark.range(1000).selectExpr("cast(id AS double) AS a", "cast(id % 7 AS double) AS b").write.parquet(str(tmp_path / "t"))
     out = Q.describe(spark.read.parquet(str(tmp_path / "t")), ["a", "b"])
