@@ -347,14 +347,16 @@ def _segment_ranks(profiles: DataFrame) -> tuple[dict[int, np.ndarray], int]:
     shown = profiles.selectExpr("inline(array(struct(band0 AS band, codes0 AS codes, values0 AS shown), "
                                 "struct(band1 AS band, codes1 AS codes, values1 AS shown)))")
     shown = shown.selectExpr("band", "inline(arrays_zip(codes, shown))")
-    costs = shown.groupBy("band", "codes").agg(F.count("*").alias("rows"), F.approx_count_distinct("shown").alias("kinds")).toPandas()
-    ranks, total = {}, int(costs["rows"].sum())
-    for band, part in costs[costs.codes >= 0].groupby("band"):
-        code, extra = part.codes.to_numpy(), np.maximum(0, part.rows - part.kinds).to_numpy(dtype=np.float64)
+    costs = shown.groupBy("band", "codes").agg(F.count("*").alias("rows"), F.approx_count_distinct("shown").alias("kinds")).toArrow()
+    bands, codes, rows, kinds = (costs[c].to_numpy() for c in ("band", "codes", "rows", "kinds"))
+    ranks, total = {}, int(rows.sum())
+    for band in np.unique(bands[codes >= 0]):
+        part = (bands == band) & (codes >= 0)
+        code, extra = codes[part], np.maximum(0, rows[part] - kinds[part]).astype(np.float64)
         cost = np.full(code.max() // 2 * 2 + 2, np.inf)
         cost[code] = extra
         neighbour = code[code % 2 == 1]
-        cost[neighbour] += cost[neighbour - 1] + part.rows.to_numpy()[code % 2 == 1]
+        cost[neighbour] += cost[neighbour - 1] + rows[part][code % 2 == 1]
         place = np.empty(len(cost), dtype=np.int64)
         place[np.lexsort((np.arange(len(cost)), cost))] = np.arange(len(cost))
         ranks[int(band)] = place
@@ -379,7 +381,7 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     frequent = rows.select("text").mapInArrow(partial(_frequent, words=words), "token long, count long")
     least = max(HOT_LEAST, int(HOT_SHARE * rows.count()))
     hot = (frequent.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
-           .orderBy(F.desc("count"), "token").limit(HOT_MOST).toPandas()["token"].to_numpy(dtype=np.int64))
+           .orderBy(F.desc("count"), "token").limit(HOT_MOST).toArrow()["token"].to_numpy().astype(np.int64))
     hot = np.sort(hot.view(np.uint64))
 
     schema = f"row_key long, key {kind}, n long, cid long, " + ", ".join(
@@ -392,6 +394,9 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
         partial(_packed, ranks=ranks, buckets=buckets), "bucket long, values binary, cids binary")
     members = stored(packed.repartition(buckets, "bucket").mapInArrow(_members, "value long, cid long, exact boolean")
                      .groupBy("value", "cid").agg(F.max("exact").alias("exact")), "members")
+    # the shown values are the largest table of all and are not needed any more
+    wide, profiles = profiles, stored(profiles.select("row_key", "key", "n", "cid"), "classes")
+    discard(wide)
 
     # one row stands for each class that has company; its set is taken from its text again
     chosen = (profiles.where("n > 0").join(members.select("cid").distinct(), "cid", "left_semi")

@@ -111,7 +111,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     rates = [(c + 0.5) / (len(x) + 1) for c, x in zip(counts, (positive, unlabelled))]
     off = (counts[0] - len(positive) * rates[1]) / np.sqrt(len(positive) * rates[1] * (1 - np.minimum(rates[1], 0.99)))
     used = np.flatnonzero((np.abs(off) >= LEAST_SCORE) & (counts[0] + counts[1] > 3))
-    place = np.full(FEATURES, -1)
+    place = np.full(FEATURES, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     scale = np.log(rates[0] / rates[1])[used]  # a feature counts by how much oftener it stands in toxic texts
     texts = [place[t] for t in (*positive, *unlabelled)]
@@ -189,11 +189,13 @@ def fit_toxicity(df: DataFrame, toxic_keys: DataFrame, prior: float, key: str =
     # at most MOST_POSITIVE + MOST_UNLABELLED rows of 17 bytes: a bounded broadcast instead of a shuffle of all texts
     sample = (texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["key", "hash"])
               .select("hash", "toxic", "text").mapInArrow(_featured, "hash long, toxic boolean, numbers binary")
-              .groupBy("hash").agg(F.max("toxic").alias("toxic"), F.first("numbers").alias("numbers")).toPandas()
-              .sort_values("hash"))
-    numbers = [np.frombuffer(x, np.uint32) for x in sample["numbers"]]
-    toxic = sample["toxic"].to_numpy(dtype=bool)
-    return fit([x for x, t in zip(numbers, toxic) if t], [x for x, t in zip(numbers, toxic) if not t], prior)
+              .groupBy("hash").agg(F.max("toxic").alias("toxic"), F.first("numbers").alias("numbers")).toArrow())
+    numbers, toxic = [np.frombuffer(x.as_buffer(), np.uint32) for x in sample["numbers"]], sample["toxic"].to_pylist()
+    order = np.argsort(sample["hash"].to_numpy())
+    model = fit([numbers[i] for i in order if toxic[i]], [numbers[i] for i in order if not toxic[i]], prior)
+    del sample, numbers
+    ta.give_back()  # the driver lives on
+    return model
 
 
 def score_toxicity(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -146,3 +146,16 @@ def test_components(spark):
         root[b] = a
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_shown_values_go_before_sets_are_compared(spark, monkeypatch):
+    # they are the largest table; keeping them to the end was the peak of disk
+    gone = []
+    monkeypatch.setattr(jaccard_join, "_labels", lambda *a, real=jaccard_join._labels: (gone.append(len(removed)), real(*a))[1])
+    removed = []
+    monkeypatch.setattr(jaccard_join, "discard", lambda *t, real=jaccard_join.discard: (
+        removed.extend(x.stored_at for x in t if x is not None and "/profiles-" in x.stored_at), real(*t))[1])
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other words stand in this one here"), (4, None)]
+    got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90, den=100)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert gone == [1]
