@@ -33,6 +33,8 @@ LEAF_POINTS, PROBES = 256, 1024
 #: Decimals of squared distances; nearer ones than this tell rows apart by their key.
 DECIMALS = 9
 _SLACK = 2e-9
+#: What is known of a probe on its way down the cells, besides its group and cell.
+_FRONT = ["_p", "_z", "bound", "own"]
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -89,36 +91,78 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     for batch in batches:
         for i in range(batch.num_rows):
             held, probes = batch.column("held")[i].values, batch.column("probes")[i].values
-            vectors = [np.stack([np.asarray(v, dtype=np.float64) for v in rows.field("_z").to_pylist()]) for rows in (held, probes)]
+            vectors = [_matrix(rows.field("_z")) for rows in (held, probes)]
             squared = np.zeros((len(probes), len(held)))
             for a, b in zip(vectors[1].T, vectors[0].T):  # axis after axis, as a plain sum would
                 squared += (a[:, None] - b[None]) ** 2
             squared = np.floor(squared * 10 ** DECIMALS + 0.5) / 10 ** DECIMALS
+            own = {p: j for j, p in enumerate(held.field("_p").to_pylist())}
+            for row, spot in zip(squared, probes.field("_p").to_pylist()):
+                if spot in own:
+                    row[own[spot]] = np.inf
             members = held.field("members")
             sizes = members.value_lengths().to_numpy(zero_copy_only=False)
             owner, ids = np.repeat(np.arange(len(held)), sizes), members.flatten()
-            names = ids.to_numpy(zero_copy_only=False)
-            by_name = np.argsort(names, kind="stable")
-            own = {p: j for j, p in enumerate(held.field("_p").to_pylist())}
+            by_name = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
             bounds = probes.field("bound").to_numpy(zero_copy_only=False)
-            out = []
-            for row, spot, bound in zip(squared, probes.field("_p").to_pylist(), bounds):
-                row = row.copy()
-                if spot in own:
-                    row[own[spot]] = np.inf
-                at = by_name[row[owner[by_name]] <= bound * bound + _SLACK]
-                at = at[np.argsort(row[owner[at]], kind="stable")[:k]]
-                out.append([(float(row[owner[j]]), ids[int(j)].as_py()) for j in at if np.isfinite(row[owner[j]])])
-            entry = pa.list_(pa.struct([("d", pa.float64()), ("other", ids.type)]))
-            yield pa.record_batch([pa.array([batch.column("_g")[i].as_py()] * len(out), batch.schema.field("_g").type), probes.field("_p"),
-                                   pa.array([[{"d": d, "other": o} for d, o in x] for x in out], entry)], names=["_g", "_p", "found"])
+            # members in the order of their keys, so that of equal distances the smaller key comes first
+            away = squared[:, owner[by_name]]
+            away[np.isnan(away)] = np.inf
+            place = min(k, away.shape[1]) - 1
+            most = np.minimum(np.partition(away, place, axis=1)[:, place], bounds * bounds + _SLACK)
+            row, at = np.nonzero((away <= most[:, None]) & np.isfinite(away))
+            order = np.lexsort((away[row, at], row))
+            row, at = row[order], at[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at = row[near], at[near]
+            ends = pa.array(np.searchsorted(row, np.arange(len(probes) + 1)).astype(np.int32))
+            found = pa.StructArray.from_arrays([pa.array(away[row, at]), ids.take(pa.array(by_name[at]))], ["d", "other"])
+            yield pa.record_batch([pa.array([batch.column("_g")[i].as_py()] * len(probes), batch.schema.field("_g").type), probes.field("_p"),
+                                   pa.ListArray.from_arrays(ends, found)], names=["_g", "_p", "found"])
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(vectors), len(values) // max(1, len(vectors)))
+
+
+def _blocks(probes: DataFrame, fields: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """(one row per block of the probes that meet a cell, number of blocks of each cell)."""
+    sizes = probes.groupBy("_g", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = probes.join(sizes, ["_g", "cell"]).withColumn("block", F.pmod(F.xxhash64("_p"), F.col("blocks")))
+    return dealt.groupBy("_g", "cell", "block").agg(F.collect_list(F.struct(*fields)).alias("probes")), sizes
+
+
+def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (one cell's children, a block of probes) as the children in which a probe may have a neighbour."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            children, probes = batch.column("children")[i].values, batch.column("probes")[i].values
+            squared = np.zeros((len(probes), len(children)))
+            for a, b in zip(_matrix(probes.field("_z")).T, _matrix(children.field("pivot")).T):
+                squared += (a[:, None] - b[None]) ** 2
+            away, radius = np.sqrt(squared), children.field("radius").to_numpy(zero_copy_only=False)
+            bound = probes.field("bound").to_numpy(zero_copy_only=False)[:, None] + 1e-9
+            row, at = np.nonzero((away - radius <= bound) & ((away - away.min(axis=1, keepdims=True)) / 2 <= bound))
+            met, cells = probes.take(pa.array(row)), children.take(pa.array(at))
+            yield pa.record_batch([pa.array([batch.column("_g")[i].as_py()] * len(row), batch.schema.field("_g").type),
+                                   *(met.field(c) for c in _FRONT), cells.field("child"), cells.field("inside")], names=["_g", *_FRONT, "cell", "inside"])
+
+
+def _descend(front: DataFrame, tree: DataFrame, block: int) -> DataFrame:
+    """(_g, _p, _z, bound, own, cell, inside): each probe with the children of its cells that it has to look into."""
+    packed, sizes = _blocks(front, _FRONT, block)
+    # all probes meet the first cell, so its children are dealt out with the blocks
+    dealt = tree.join(sizes, ["_g", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    types = {f.name: f.dataType.simpleString() for f in front.schema.fields}
+    return packed.join(dealt, ["_g", "cell", "block"]).select("_g", "children", "probes").mapInArrow(
+        _below, ", ".join(f"{c} {types[c]}" for c in ("_g", *_FRONT)) + ", cell long, inside boolean")
 
 
 def _compare(probes: DataFrame, cells: DataFrame, k: int, block: int) -> DataFrame:
     """(_g, _p, found) of each probe in each of its cells; ``cells`` has one packed row per cell."""
-    sizes = probes.groupBy("_g", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = probes.join(sizes, ["_g", "cell"]).withColumn("block", F.pmod(F.xxhash64("_p"), F.col("blocks")))
-    packed = dealt.groupBy("_g", "cell", "block").agg(F.collect_list(F.struct("_p", "_z", "bound")).alias("probes"))
+    packed, _ = _blocks(probes, ["_p", "_z", "bound"], block)
     types = {f.name: f.dataType.simpleString() for f in probes.schema.fields}
     rows = packed.join(cells, ["_g", "cell"]).select("_g", "held", "probes")
     return rows.mapInArrow(partial(_nearest, k=k), f"_g {types['_g']}, _p {types['_p']}, found array<struct<d: double, other: {types['_p']}>>")
@@ -147,12 +191,7 @@ def nearest_neighbours(rows: DataFrame, group: str, key: str, vector: str, k: in
                                                         F.lit(1).cast("long").alias("cell"))
         reached = []
         for _ in range(DEPTH):
-            met = front.join(tree, ["_g", "cell"]).withColumn("met", F.transform("children", lambda c: F.struct(
-                c["child"].alias("cell"), c["inside"].alias("inside"), c["radius"].alias("radius"), _distance(F.col("_z"), c["pivot"]).alias("d"))))
-            nearest = F.array_min(F.transform("met", lambda m: m["d"]))
-            met = met.withColumn("nearest", nearest).withColumn("met", F.filter("met", lambda m: (
-                (m["d"] - m["radius"] <= F.col("bound") + 1e-9) & ((m["d"] - F.col("nearest")) / 2 <= F.col("bound") + 1e-9))))
-            met = materialise(met.select("_g", "_p", "_z", "bound", "own", F.inline("met")))
+            met = materialise(_descend(front, tree, probes))
             reached.append(met.where("NOT inside AND cell <> own").select("_g", "cell", "_p", "_z", "bound"))
             front = met.where("inside").select("_g", "_p", "_z", "bound", "own", "cell")
             if front.isEmpty():

@@ -386,6 +386,22 @@ def test_neighbours_of_the_feature_matrix(spark):
     assert found == _brute_neighbours(keys, points, 5)
 
 
+def test_blocks_of_probes_go_down_to_the_children_that_may_hold_a_neighbour():
+    import pyarrow as pa
+    from crashrisk.operators import neighbours as N
+    rng = np.random.default_rng(6)
+    points, pivots = rng.normal(0, 1, (40, 3)), rng.normal(0, 1, (5, 3))
+    radius, bound = rng.uniform(0.1, 1, 5), np.append(rng.uniform(0.1, 1, 39), np.inf)
+    probes = [{"_p": i, "_z": list(p), "bound": b, "own": 7} for i, (p, b) in enumerate(zip(points, bound))]
+    children = [{"child": 16 + i, "radius": r, "pivot": list(p), "inside": i % 2 == 0} for i, (p, r) in enumerate(zip(pivots, radius))]
+    batch = pa.record_batch([pa.array(["g"]), pa.array([children]), pa.array([probes])], names=["_g", "children", "probes"])
+    got = [tuple(r[c] for c in ("_g", "_p", "cell", "inside", "bound")) for out in N._below([batch]) for r in out.to_pylist()]
+    away = np.sqrt(((points[:, None] - pivots[None]) ** 2).sum(axis=2))
+    want = [("g", i, 16 + j, j % 2 == 0, bound[i]) for i in range(40) for j in range(5)
+            if away[i, j] - radius[j] <= bound[i] and (away[i, j] - away[i].min()) / 2 <= bound[i]]
+    assert got == want and 5 < len(want) < 200
+
+
 # --- plans -------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["fn27_safety_score", "fn28_recommendation", "fn29_explanation_context", "win3_segment_placement", "win4_safest_route",
