@@ -415,6 +415,18 @@ def test_points_of_routes_are_never_broadcast(spark, sf_dir, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["fn28_recommendation", "fn29_explanation_context", "win3_segment_placement"])
+def test_routes_are_joined_by_shuffle_whatever_the_threshold(spark, sf_dir, name):
+    import __spark_entry__ as entry
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = entry.queries()[name](spark, sf_dir)
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_cross_joins_or_global_windows_in_core_plans(spark, sf_dir):
     import __spark_entry__ as entry
     for name in ("agg16_binary_roc_auc", "smp1_stratified_split", "jn5_interval_to_point", "jn4_radius_held_out", "win1_candidate_wins"):
