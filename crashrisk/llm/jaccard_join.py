@@ -20,7 +20,9 @@ What keeps this whole and bounded under skew:
   linked classes get one label; only pairs whose labels still differ are then compared
   with each other. Comparisons left out join nothing new: both ends are in one component.
 * Pairs are held against their sizes and parity sketches before a set is fetched; the bits in
-  which two sketches differ are a lower bound of the elements in which the sets do.
+  which two sketches differ are a lower bound of the elements in which the sets do. Sketches of
+  one length tell large sets apart no more, so pairs that pass are held against sketches as
+  long as the sets (in bits), and only sets of pairs that pass these too are made.
 * Shown values travel packed by bucket; values that many classes of one task share skip
   the bucket and go out as rows.
 
@@ -32,7 +34,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -315,16 +317,58 @@ def _parities(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(n, SKETCH)
 
 
+def _long_sketches(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set a parity sketch of a bit or more for each element; none where the short one has as many.
+
+    Their lengths are powers of two, so that the longer of two folds to the length of the other.
+    """
+    out, mixed = [], ta.mix(tokens ^ np.uint64(0x3C6EF372))
+    for a, b in zip(bounds, bounds[1:]):
+        width = 1 << int(b - a - 1).bit_length() if b - a > 64 * SKETCH else 0
+        odd = np.bincount((mixed[a:b] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 if width else np.zeros(0)
+        out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+    return out
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, texts in ta.slices(batch.column(2)):
+            tokens, bounds = shingle_sets(texts, words)
+            short = _parities(tokens, bounds)
+            yield pa.record_batch(
+                [batch.column(i).slice(first, last - first) for i in (0, 1)] + [pa.array(np.diff(bounds))]
+                + [pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH)]
+                + [pa.array(_long_sketches(tokens, bounds), pa.binary())],
+                names=["row_key", "cid", "n", *(f"s{i}" for i in range(SKETCH)), "long"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, texts in ta.slices(batch.column(1)):
+        for first, last, texts in ta.slices(batch.column(2)):
             tokens, bounds = shingle_sets(texts, words)
-            sketches = _parities(tokens, bounds)
             yield pa.record_batch(
-                [batch.column(0).slice(first, last - first), pa.array(np.diff(bounds))]
-                + [pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH)]
-                + [pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
-                names=["cid", "n", *(f"s{i}" for i in range(SKETCH)), "grams"])
+                [batch.column(1).slice(first, last - first), pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
+                names=["cid", "grams"])
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[:len(sketch) // 2] ^ sketch[len(sketch) // 2:]
+    return sketch
+
+
+def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose long sketches, where both have one, leave a similarity of num / den possible."""
+    for batch in batches:
+        total = batch.column(2).to_numpy(zero_copy_only=False)
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for i in range(batch.num_rows):
+            a, b = (np.frombuffer(batch.column(side)[i].as_buffer(), np.uint64) for side in (3, 4))
+            if len(a) and len(b):
+                size = min(len(a), len(b))
+                apart = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+                keep[i] = apart * (den + num) <= total[i] * (den - num)
+        yield batch.select([0, 1]).filter(pa.array(keep))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -401,11 +445,20 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     # one row stands for each class that has company; its set is taken from its text again
     chosen = (profiles.where("n > 0").join(members.select("cid").distinct(), "cid", "left_semi")
               .groupBy("cid").agg(F.min("row_key").alias("row_key")))
-    picked = rows.join(chosen, "row_key").select("cid", "text").dropDuplicates(["cid"])
+
+    def picked(classes: DataFrame) -> DataFrame:
+        # equal rows stand in one partition after the join, so their texts are not moved again
+        return rows.join(classes, "row_key").select("row_key", "cid", "text").dropDuplicates(["row_key"])
+
     sketch = ", ".join(f"s{i} long" for i in range(SKETCH))
-    sets = stored(picked.mapInArrow(partial(_sets, words=words), f"cid long, n long, {sketch}, grams binary"), "sets")
+    sketches = stored(picked(chosen).mapInArrow(partial(_sketches, words=words), f"row_key long, cid long, n long, {sketch}, long binary"), "sketches")
 
-    labels = _labels(members, sets, num, den)
+    def sets(cids: DataFrame) -> DataFrame:
+        """The sets of some classes, made for them alone."""
+        wanted = sketches.select("row_key", "cid").join(cids, "cid", "left_semi")
+        return stored(picked(wanted).mapInArrow(partial(_sets, words=words), "cid long, grams binary"), "sets")
+
+    labels = _labels(members, sketches, sets, num, den)
     classes = profiles.where("n > 0").groupBy("cid").agg(F.min("key").alias("key"))
     classes = classes.join(labels, F.col("cid") == F.col("node"), "left").select(
         "cid", "key", F.coalesce("label", "cid").alias("label"))
@@ -432,12 +485,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **option
     return rows.join(chosen, "_row_key", "left_semi").drop("_row_key")
 
 
-def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _labels(members: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, label) of all classes with a link, by comparing bucket mates whose labels differ."""
     words = [f"s{i}" for i in range(SKETCH)]
-    sketches = sets.select("cid", "n", *words)
-    plain, members = members, stored(members.join(sketches, "cid"), "members")
-    discard(plain)
 
     def side(frame: DataFrame, name: str, *more: str) -> DataFrame:
         return frame.select(F.col("cid").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *words)), *more)
@@ -447,9 +497,14 @@ def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         f"least(a_n, b_n) * {den} >= greatest(a_n, b_n) * {num} AND "
         f"({' + '.join(f'bit_count(a_{w} ^ b_{w})' for w in words)}) * {den + num} <= (a_n + b_n) * {den - num}")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("cid").alias("a"), F.col("grams").alias("left"))
-        right = sets.select(F.col("cid").alias("b"), F.col("grams").alias("right"))
+    def long_possible(pairs: DataFrame) -> DataFrame:
+        left, right = (sketches.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("long").alias(f"{c}_long")) for c in "ab")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", F.expr("a_n + b_n").alias("total"), "a_long", "b_long")
+        return stored(both.mapInArrow(partial(_possible, num=num, den=den), "a long, b long"), "pairs")
+
+    def compare(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+        left = grams.select(F.col("cid").alias("a"), F.col("grams").alias("left"))
+        right = grams.select(F.col("cid").alias("b"), F.col("grams").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return both.mapInArrow(partial(_verified, num=num, den=den), "a long, b long, linked boolean")
 
@@ -457,31 +512,37 @@ def _labels(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     for turn in range(PIVOT_ROUNDS + 1):
         now = members
         if labels is not None:
-            now = members.join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
+            now = members.join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
         else:
             now = members.withColumn("label", F.col("cid"))
         order = F.xxhash64("cid", F.lit(turn))
         heads = now.groupBy("value").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), *(
                 F.min_by(F.when(F.col("exact"), F.col(c)), F.when(F.col("exact"), order)).alias(f"p_{c}") for c in ("cid", "label")))
-        now = stored(now.join(heads.where("low < high").drop("low", "high"), "value"), "open")
+        heads, met = heads.where("low < high").drop("low", "high"), None
         if turn < PIVOT_ROUNDS:
-            pairs = now.where("label <> p_label").select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
+            pairs = now.join(heads, "value").where("label <> p_label")
+            pairs = pairs.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
             pairs = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").where(possible).select("a", "b")
         else:
-            left = side(now.where("exact"), "a", "value", F.col("label").alias("la"))
-            right = side(now, "b", "value", F.col("label").alias("lb"), "exact")
-            pairs = left.join(right, (left["value"] == right["value"]) & F.expr("la <> lb AND (a < b OR NOT exact)") & possible)
+            # sketches go along only here, with the values that are still open
+            met = stored(now.join(heads.select("value"), "value").join(sketches.select("cid", "n", *words), "cid"), "open")
+            left = side(met, "a", "value", F.col("label").alias("la"), F.col("exact").alias("a_exact"))
+            right = side(met, "b", "value", F.col("label").alias("lb"), F.col("exact").alias("b_exact"))
+            pairs = left.join(right, (left["value"] == right["value"]) & F.expr("a_exact AND la <> lb AND (a < b OR NOT b_exact)") & possible)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(compare(pairs), "compared")
+        near = stored(pairs, "near")
+        pairs = long_possible(near)
+        grams = sets(pairs.selectExpr("explode(array(a, b)) AS cid").distinct())
+        found = stored(compare(pairs, grams), "compared")
         tested = found if tested is None else tested.unionByName(found)
         links = tested.where("linked")
         old, labels = labels, components(links)
-        discard(now, old)
+        discard(met, near, pairs, grams, old)
         compared.append(found)
-    discard(members, sets, *compared)
+    discard(members, sketches, *compared)
     return labels
 
 

@@ -159,3 +159,32 @@ def test_shown_values_go_before_sets_are_compared(spark, monkeypatch):
     got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90, den=100)
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
     assert gone == [1]
+
+
+def test_only_sets_that_may_be_similar_are_fetched(spark, monkeypatch):
+    # long texts with a long passage in common share shown values; sketches of one length for all tell them apart no more
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(1800)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(1200))])) for i in range(8)]
+    rows.append((8, rows[3][1] + " and one more"))
+    seen = defaultdict(list)
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name, *a, real=jaccard_join.stored: (
+        out := real(df, name, *a), seen[name].append(out.count()))[0])
+    got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(8)}, 8: 3}
+    assert sum(seen["compared"]) == 1 and sum(seen["sets"]) == 2
+
+
+def test_long_sketches_differ_in_no_more_bits_than_their_sets():
+    rng = np.random.default_rng(6)
+    for a, b, both in ((600, 700, 500), (513, 5000, 400), (3000, 3000, 2900), (100, 900, 90), (1024, 1025, 1024)):
+        tokens = np.unique(rng.integers(0, 1 << 62, a + b - both).astype(np.uint64))
+        one, two = tokens[:a], tokens[a - both:]
+        sketches = [jaccard_join._long_sketches(t, np.array([0, len(t)]))[0] for t in (one, two)]
+        assert [8 * len(s) >= len(t) for s, t in zip(sketches, (one, two))] == [len(t) > 64 * jaccard_join.SKETCH for t in (one, two)]
+        for num, den in ((80, 100), (90, 100), (1, 2)):
+            pair = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([a + b]), *(pa.array([s], pa.binary()) for s in sketches)],
+                                   names=["a", "b", "total", "a_long", "b_long"])
+            kept = next(jaccard_join._possible(iter([pair]), num, den)).num_rows
+            assert kept or den * both < num * (a + b - both)
