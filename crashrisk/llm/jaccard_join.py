@@ -58,6 +58,8 @@ RUN_VALUES = 250_000
 PIVOT_ROUNDS = 2
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
+#: Classes up to which the names of those whose sets are wanted are broadcast (16 bytes each); beyond, texts are shuffled.
+BROADCAST_CLASSES = 1_000_000
 
 
 class Scheme:
@@ -455,8 +457,11 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     def sets(cids: DataFrame) -> DataFrame:
         """The sets of some classes, made for them alone."""
-        wanted = sketches.select("row_key", "cid").join(cids, "cid", "left_semi")
-        return stored(picked(wanted).mapInArrow(partial(_sets, words=words), "cid long, grams binary"), "sets")
+        wanted = stored(sketches.select("row_key", "cid").join(cids, "cid", "left_semi"), "wanted")
+        few = wanted.count() <= BROADCAST_CLASSES  # then no text is shuffled but those that are wanted
+        made = stored(picked(F.broadcast(wanted) if few else wanted).mapInArrow(partial(_sets, words=words), "cid long, grams binary"), "sets")
+        discard(wanted)
+        return made
 
     labels = _labels(members, sketches, sets, num, den)
     classes = profiles.where("n > 0").groupBy("cid").agg(F.min("key").alias("key"))

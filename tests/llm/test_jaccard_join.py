@@ -174,6 +174,8 @@ def test_only_sets_that_may_be_similar_are_fetched(spark, monkeypatch):
     got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(8)}, 8: 3}
     assert sum(seen["compared"]) == 1 and sum(seen["sets"]) == 2
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CLASSES", 0)
+    assert {r["doc_id"]: r["component_id"] for r in similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[8] == 3
 
 
 def test_long_sketches_differ_in_no_more_bits_than_their_sets():
